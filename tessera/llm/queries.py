@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, quality
 
 QUERIES = {
+    "op6_quality": quality.op6_quality,
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLES = {
