@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing, quality
+from . import bpe, mixing, quality
 
 QUERIES = {
+    "op3_bpe": bpe.op3_bpe,
     "op6_quality": quality.op6_quality,
     "op10_mixing": mixing.op10_mixing,
 }
