@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, quality
+from . import bpe, mixing, quality, secrets
 
 QUERIES = {
     "op3_bpe": bpe.op3_bpe,
+    "op4_secrets": secrets.op4_secrets,
     "op6_quality": quality.op6_quality,
     "op10_mixing": mixing.op10_mixing,
 }
