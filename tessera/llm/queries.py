@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, quality, secrets
+from . import bpe, langid, mixing, quality, secrets, toxicity
 
 QUERIES = {
     "op3_bpe": bpe.op3_bpe,
     "op4_secrets": secrets.op4_secrets,
     "op6_quality": quality.op6_quality,
+    "op7_toxicity": toxicity.op7_toxicity,
+    "op8_langid": langid.op8_langid,
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLES = {
