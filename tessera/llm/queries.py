@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, mixing, quality, secrets, toxicity
+from . import bpe, langid, mixing, pii, quality, secrets, toxicity
 
 QUERIES = {
     "op3_bpe": bpe.op3_bpe,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_quality": quality.op6_quality,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_langid": langid.op8_langid,
+    "op9_pii": pii.op9_pii,
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLES = {
