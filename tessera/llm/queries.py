@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, mixing, pii, quality, secrets, toxicity
+from . import bpe, langid, minhash, mixing, pii, quality, secrets, toxicity
 
 QUERIES = {
     "op3_bpe": bpe.op3_bpe,
     "op4_secrets": secrets.op4_secrets,
+    "op5_minhash": minhash.op5_minhash,
     "op6_quality": quality.op6_quality,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_langid": langid.op8_langid,
