@@ -9,6 +9,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: What counts as a word wherever a contract speaks of words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -40,16 +41,25 @@ def fold_of(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5
 
 
+def arrow_schema(ddl: str):
+    """Arrow's schema for columns given as in SQL."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
 def map_arrow(df: DataFrame, function: Callable[..., Any], schema: str) -> DataFrame:
     """mapInArrow of a function from one record batch to a dict of columns (or an iterator of such dicts)."""
 
+    types = arrow_schema(schema)
+
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             made = function(batch)
             for columns in [made] if isinstance(made, dict) else made:
-                yield pa.RecordBatch.from_pydict(columns)
+                yield pa.RecordBatch.from_pydict(columns, schema=types)
 
     return df.mapInArrow(run, schema)
 
