@@ -113,18 +113,22 @@ def taken(sized: DataFrame, most: int = MOST, seed: str = "mix") -> DataFrame:
 
 
 def mix(docs: DataFrame, most: int = MOST, seed: str = "mix") -> DataFrame:
-    """The documents, each as often as the mix takes it; columns as in ``docs``."""
+    """The documents, each as often as the mix takes it; columns as in ``docs``.
+
+    Rows that agree in id, source and size lie side by side, so their copies differ by one at
+    most; the first of them by a hash of the text get the larger number.
+    """
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\x00"))
+    key = F.concat_ws("\x01", part("doc_id"), part("source"), F.col("_size").cast("string"))
     copies = taken(docs.select("doc_id", "source", size_of(F.col("text")).alias("size")), most, seed)
-    # rows that agree in id, source and size share their copies in order of the text
-    keys = ["doc_id", "source", "size"]
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("copies"))).alias("_nth")
-    copies = copies.select(*(F.col(k).alias(f"_{k}") for k in keys), "copies", nth.alias("_at")).where("copies > 0")
-    own = docs.withColumn("_own_size", size_of(F.col("text")))
-    own = own.withColumn("_own_nth", F.row_number().over(Window.partitionBy("doc_id", "source", "_own_size").orderBy(F.xxhash64("text"))))
-    on = (own.doc_id.eqNullSafe(copies._doc_id) & own.source.eqNullSafe(copies._source)
-          & (own._own_size == copies._size) & (own._own_nth == copies._at))
-    out = own.join(copies, on)
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*(own[c] for c in docs.columns))
+    copies = copies.withColumnRenamed("size", "_size").groupBy(key.alias("_key")).agg(F.count(F.lit(1)).alias("_rows"), F.sum("copies").alias("_copies"))
+    own = docs.withColumn("_size", size_of(F.col("text"))).withColumn("_key", key)
+    out = own.join(copies.where("_copies > 0"), "_key")
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64("text")))
+    out = out.withColumn("_nth", F.when(F.col("_rows") > 1, nth).otherwise(1))
+    times = F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_nth") <= F.col("_copies") % F.col("_rows")).cast("int")
+    out = out.withColumn("_times", times.cast("int")).where("_times > 0")
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
