@@ -14,8 +14,8 @@ prefix sum over a hot source never meets in one task: it is the sum of three bou
 
 Defined results: a null text or one without words has size 0 and takes 0 words; a null
 source is a source of its own, ordered last; a null id lies with the empty text; repeated
-rows are separate documents; an empty table gives no rows; other columns are kept by
-``mix`` under their names, but for the columns it adds, which it replaces.
+rows are separate documents; an empty table gives no rows; other columns, whatever their
+names, are kept by ``mix`` and not read by ``taken``.
 """
 
 from __future__ import annotations
@@ -122,13 +122,14 @@ def mix(docs: DataFrame, most: int = MOST, seed: str = "mix") -> DataFrame:
     key = F.concat_ws("\x01", part("doc_id"), part("source"), F.col("_size").cast("string"))
     copies = taken(docs.select("doc_id", "source", size_of(F.col("text")).alias("size")), most, seed)
     copies = copies.withColumnRenamed("size", "_size").groupBy(key.alias("_key")).agg(F.count(F.lit(1)).alias("_rows"), F.sum("copies").alias("_copies"))
-    own = docs.withColumn("_size", size_of(F.col("text"))).withColumn("_key", key)
+    own = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source", size_of(F.col("text")).alias("_size"))
+    own = own.select("_row", key.alias("_key"))  # whatever names the documents have, they don't meet these
     out = own.join(copies.where("_copies > 0"), "_key")
-    nth = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64("text")))
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64("_row.text")))
     out = out.withColumn("_nth", F.when(F.col("_rows") > 1, nth).otherwise(1))
     times = F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_nth") <= F.col("_copies") % F.col("_rows")).cast("int")
     out = out.withColumn("_times", times.cast("int")).where("_times > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, embeddings, langid, minhash, mixing, pii, quality, secrets, toxicity
+from . import bpe, embeddings, langid, minhash, mixing, pii, quality, secrets, suffixes, toxicity
 
 QUERIES = {
+    "op1_suffixes": suffixes.op1_suffixes,
     "op2_embeddings": embeddings.op2_embeddings,
     "op3_bpe": bpe.op3_bpe,
     "op4_secrets": secrets.op4_secrets,
