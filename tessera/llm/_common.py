@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,6 +64,24 @@ def map_arrow(df: DataFrame, function: Callable[..., Any], schema: str) -> DataF
     return df.mapInArrow(run, schema)
 
 
+def sorted_groups(batches: Iterable[Any], keys: list[str], columns: tuple[str, ...]) -> Iterator[dict[str, list]]:
+    """The columns of each run of rows with equal keys, from batches that are sorted by them."""
+    held: dict[str, list] = {c: [] for c in columns}
+    last = None
+    for batch in batches:
+        names = [batch.column(k).to_pylist() for k in keys]
+        values = [batch.column(c).to_pylist() for c in columns]
+        for i, key in enumerate(zip(*names, strict=True)):
+            if key != last:
+                if last is not None:
+                    yield held
+                held, last = {c: [] for c in columns}, key
+            for c, v in zip(columns, values, strict=True):
+                held[c].append(v[i])
+    if last is not None:
+        yield held
+
+
 def tokenizer_file(name: str) -> str:
     """Path of a public vocabulary; TESSERA_TOKENIZERS names another folder."""
     folder = os.environ.get("TESSERA_TOKENIZERS")

@@ -8,10 +8,11 @@ are no candidates (below 5e-6 of the pairs at the very threshold are lost so).
 Prefix: postings nobody shares are dropped, and classes left with fewer than ``MATCHES``;
 of the rest of its m postings, rarest first, a class keeps the first m - MATCHES + 1, since
 two classes that collide MATCHES times meet in those.  Skip: every list first compares its
-members with one hub only; once those links are joined to components, members of a list that
-already are in one component are skipped, and just pairs across components are counted out
-over the whole signature, then confirmed on the full sets.  So a large group of near copies
-costs a few comparisons a member, and no link between components is lost.
+members with one hub only; once those links are joined to components, lists that lie within
+one component are skipped.  The members of the other lists are counted out on their full sets,
+in blocks of at most about ``BLOCK`` against each other and without ever writing a pair: a block
+returns the links that span its components.  So a large group of near copies costs a few
+comparisons a member, and no link between components is lost.
 
 Defined results: a text that is null, empty or without words has an empty set and links
 with nothing; with fewer than five words the whole sequence is the one shingle; a row with a
@@ -29,11 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import cut, map_arrow, read
+from ._common import arrow_schema, cut, map_arrow, read, sorted_groups
 from .components import components
 
 WORDS, SHARE = 5, 75
 COORDINATES, MATCHES = 48, 22
+#: Members of a list in one block; shingles that a block counts at a time.
+BLOCK, COLUMNS = 1024, 4096
 _RNG = np.random.default_rng(7411)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = _RNG.integers(1, 2**63, WORDS + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -128,14 +131,81 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_arrow(pairs.join(left, "a").join(right, "b"), run, "a long, b long")
 
 
+def spanning_links(sets: list[np.ndarray], component: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (member, smaller member) that join what is similar enough and in different components.
+
+    side: 0 where every two members meet, else 1 or 2, and only different sides meet.
+    """
+    n = len(sets)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(n), [len(s) for s in sets])
+    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = times > 1
+    number = np.cumsum(shared) - 1
+    keep = shared[column]
+    owner, column = owner[keep], number[column[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((n, n), np.float32)
+    for lo in range(0, int(shared.sum()), COLUMNS):
+        a, b = np.searchsorted(column, (lo, lo + COLUMNS))
+        holds = np.zeros((n, COLUMNS), np.float32)
+        holds[owner[a:b], column[a:b] - lo] = 1
+        both += holds @ holds.T
+    size = np.array([len(s) for s in sets], np.float32)
+    linked = 100 * both >= SHARE * (size[:, None] + size[None, :] - both)
+    linked &= (component[:, None] != component[None, :]) & ((side[:, None] != side[None, :]) | (side[:, None] == 0))
+    i, j = np.nonzero(np.triu(linked, 1))
+    label = np.arange(n)
+    while len(i):
+        before = label.copy()
+        low = np.minimum(label[i], label[j])
+        np.minimum.at(label, i, low)
+        np.minimum.at(label, j, low)
+        label = label[label]
+        if (label == before).all():
+            break
+    tell = np.flatnonzero(label != np.arange(n))
+    return tell, label[tell]
+
+
+def links_across(members: DataFrame, texts: DataFrame, block: int | None = None) -> DataFrame:
+    """a, b: links between components, from lists (token, rep, component, members) whose members may link."""
+    blocks = F.ceil(F.col("members") / (block or BLOCK)).cast("int")
+    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+    dealt = members.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    side = F.when(F.col("own") == F.col("with"), 0).when(F.col("own") < F.col("with"), 1).otherwise(2)
+    dealt = dealt.select("token", "rep", "component", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), side.alias("side"))
+
+    def sets_of(batch):
+        return {"rep": batch.column("rep"), "set": [shingles(t).tobytes() for t in batch.column("text").to_pylist()]}
+
+    needed = texts.join(members.select("rep").distinct(), "rep", "left_semi")
+    sets = cut(map_arrow(needed, sets_of, "rep long, set binary"))
+    group = ["token", "lo", "hi"]
+    rows = dealt.join(sets, "rep").repartition(*group).sortWithinPartitions(*group)
+    types = arrow_schema("a long, b long")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for held in sorted_groups(batches, group, ("rep", "component", "side", "set")):
+            if len(held["rep"]) > 1:
+                sets = [np.frombuffer(x, np.uint64) for x in held["set"]]
+                i, j = spanning_links(sets, np.array(held["component"]), np.array(held["side"]))
+                if len(i):
+                    rep = np.array(held["rep"])
+                    yield pa.RecordBatch.from_pydict({"a": rep[i], "b": rep[j]}, schema=types)
+
+    return rows.select(*group, "rep", "component", "side", "set").mapInArrow(run, "a long, b long").distinct()
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable, itself included)."""
     rows = cut(sketches(docs))
     usable = rows.where("set_id IS NOT NULL AND doc_id IS NOT NULL")
     classes = cut(usable.groupBy("set_id").agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("signature").alias("signature")))
+        F.min("doc_id").alias("rep"), F.first("signature").alias("signature")))
     posts = cut(prefix_postings(classes))
-    sizes = classes.select("rep", "size")
 
     # one hub for each list; each class is compared with the hub it meets most often
     order = F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("hub"))
@@ -147,22 +217,13 @@ def near_groups(docs: DataFrame) -> DataFrame:
     links = cut(confirmed(first, texts))
     joined = components(links)
 
-    # pairs of a list that are in different components yet
-    placed = cut(posts.join(joined, posts.rep == joined.node, "left").join(sizes, "rep").select(
-        "rep", "token", F.coalesce("component", "rep").alias("component"), "size"))
-    mixed = cut(placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token"))
-    open_ = cut(placed.join(mixed, "token"))
-    other = open_.select("token", F.col("rep").alias("b"), F.col("component").alias("component_b"), F.col("size").alias("size_b"))
-    across = open_.withColumnRenamed("rep", "a").join(other, "token").where(
-        (F.col("component") < F.col("component_b"))
-        & (100 * F.least("size", "size_b") >= SHARE * F.greatest("size", "size_b"))
-    ).select("a", "b").distinct()
-    signatures = classes.select(F.col("rep").alias("a"), F.col("signature").alias("s"))
-    across = across.join(signatures, "a").join(signatures.select(F.col("a").alias("b"), F.col("s").alias("t")), "b")
-    collisions = F.aggregate(F.zip_with("s", "t", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, x: n + x)
-    across = cut(across.where(collisions >= MATCHES).select("a", "b"))
+    # lists whose members are in different components yet
+    placed = cut(posts.join(joined, posts.rep == joined.node, "left").select("rep", "token", F.coalesce("component", "rep").alias("component")))
+    mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members"))
+    mixed = cut(mixed.where("lo <> hi").select("token", "members"))
+    across = cut(links_across(placed.join(mixed, "token"), texts))
     if not across.isEmpty():
-        joined = components(links.unionByName(confirmed(across, texts)))
+        joined = components(links.unionByName(across))
 
     of_set = classes.join(joined, classes.rep == joined.node, "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))
     of_set = cut(of_set)
