@@ -1,4 +1,6 @@
 """Every registered query and its SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import aggregates, associations, complex_types, filters, joins, modifications, ordering, recursion, scalars, streams, windows  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
