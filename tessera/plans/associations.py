@@ -70,3 +70,47 @@ def dataset_association(t):
 def array_to_many(t):
     own = t.nation.withColumn("keys", F.array("n_regionkey", F.col("n_nationkey") % 5))
     return a.to_many_by_array(own, "keys", t.region, "r_regionkey", "regions").select("n_nationkey", F.size("regions").cast("long").alias("n"))
+
+
+@query("""SELECT r_name, count(*) AS n, min(o_orderkey) AS lo FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey
+JOIN orders ON o_custkey = c_custkey GROUP BY r_name""")
+def many_through_many(t):
+    customers = t.nation.join(t.customer, F.col("c_nationkey") == F.col("n_nationkey")).select("n_regionkey", "c_custkey")
+    orders = a.Association("order", t.orders, {"r_regionkey": "n_regionkey"}, through=customers, far_keys={"c_custkey": "o_custkey"})
+    return a.association_join(t.region, orders).groupBy("r_name").agg(F.count(F.lit(1)).alias("n"), F.min("order.o_orderkey").alias("lo"))
+
+
+@query("""SELECT s_suppkey, p_partkey FROM supplier JOIN (SELECT l_suppkey, p_partkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY p_retailprice DESC, p_partkey) AS n
+FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) x JOIN part ON p_partkey = l_partkey) y ON l_suppkey = s_suppkey AND n = 1""")
+def one_through_one(t):
+    best = parts_of_supplier(t, one=True, order=(F.desc("p_retailprice"), F.col("p_partkey")))
+    return a.association_join(t.supplier, best).select("s_suppkey", "parts.p_partkey")
+
+
+@query("SELECT d.doc_id, count(x.doc_id) AS n FROM documents d LEFT JOIN documents x ON x.lang = d.lang AND x.source = d.source AND x.doc_id < 50 WHERE d.doc_id < 100 GROUP BY d.doc_id")
+def composite_keys(t):
+    few = t.documents.select("doc_id", "lang", "source")
+    same = a.Association("same", few.where("doc_id < 50"), {"lang": "lang", "source": "source"})
+    return a.eager(few.where("doc_id < 100"), same).select("doc_id", F.size("same").cast("long").alias("n"))
+
+
+@query("""SELECT n_nationkey, count(DISTINCT c_custkey) AS customers, count(o_orderkey) AS orders FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey
+LEFT JOIN orders ON o_custkey = c_custkey GROUP BY n_nationkey""")
+def eager_nested(t):
+    customers = a.eager(t.customer.select("c_custkey", "c_nationkey"), a.Association("orders", t.orders.select("o_orderkey", "o_custkey"), {"c_custkey": "o_custkey"}))
+    out = a.eager(t.nation, a.Association("customers", customers, {"n_nationkey": "c_nationkey"}))
+    orders = F.aggregate("customers", F.lit(0), lambda n, c: n + F.size(c.orders))
+    return out.select("n_nationkey", F.size("customers").cast("long").alias("customers"), orders.cast("long").alias("orders"))
+
+
+@query("""SELECT 'customer' AS kind, c_nationkey AS nation, count(*) AS n FROM customer GROUP BY 1, 2 UNION ALL SELECT 'supplier', s_nationkey, count(*) FROM supplier GROUP BY 1, 2""")
+def single_table_inheritance(t):
+    people = t.customer.select(F.lit("customer").alias("kind"), F.col("c_nationkey").alias("nation")).unionByName(
+        t.supplier.select(F.lit("supplier").alias("kind"), F.col("s_nationkey").alias("nation")))
+    return people.where(F.col("kind").isin("customer", "supplier")).groupBy("kind", "nation").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id, lang, quality, CASE WHEN quality IS NULL THEN 'document' ELSE 'labelled' END AS kind FROM documents LEFT JOIN labels USING (doc_id)")
+def class_table_inheritance(t):
+    kind = F.when(F.col("quality").isNull(), "document").otherwise("labelled")
+    return t.documents.join(t.labels, "doc_id", "left").select("doc_id", "lang", "quality", kind.alias("kind"))

@@ -102,3 +102,52 @@ def inet_operators(t):
     return t.supplier.select(
         "s_suppkey", inet.network(a).alias("network"), inet.broadcast(a).alias("broadcast"), inet.masklen(a).alias("masklen"), inet.netmask(a).alias("netmask"),
         inet.host(a).alias("host"), inet.contained_by(a, F.lit("10.0.0.0/13")).alias("inside"))
+
+
+@query(f"SELECT k, unnest(a) AS x, unnest(list_reverse(a)) AS y FROM ({LISTS})")
+def array_unnest_together(t):
+    return lists(t).select("k", F.explode(F.arrays_zip(F.col("a").alias("x"), F.reverse("a").alias("y"))).alias("z")).select("k", "z.x", "z.y")
+
+
+@query(f"SELECT k, x FROM ({LISTS}) l, LATERAL (SELECT unnest(l.a) AS x) u WHERE x > 1")
+def lateral_unnest(t):
+    return lists(t).lateralJoin(t.spark.tvf.explode(F.col("a").outer()).toDF("x")).where("x > 1").select("k", "x")
+
+
+@query("""SELECT n_nationkey AS k, 'r' AS key, n_regionkey AS value FROM nation UNION ALL SELECT n_nationkey, 'k', n_nationkey FROM nation""")
+def map_each(t):
+    return t.nation.select(F.col("n_nationkey").alias("k"), F.explode(F.create_map(F.lit("r"), "n_regionkey", F.lit("k"), "n_nationkey")).alias("key", "value"))
+
+
+@query("SELECT n_nationkey AS k, 'r,' || n_regionkey || ',k,' || n_nationkey AS flat, n_regionkey AS only_r, n_regionkey = 0 AS has_entry FROM nation")
+def map_to_array_and_slice(t):
+    m = F.create_map(F.lit("r"), F.col("n_regionkey").cast("string"), F.lit("k"), F.col("n_nationkey").cast("string"))
+    return t.nation.select(
+        F.col("n_nationkey").alias("k"), F.array_join(c.flat(m), ",").alias("flat"), F.element_at(c.only_keys(m, "r"), "r").cast("int").alias("only_r"),
+        c.map_contains(m, F.create_map(F.lit("r"), F.lit("0"))).alias("has_entry"))
+
+
+@query("SELECT event_id, CAST(props->>'$.k' AS INTEGER) + 1 AS k1 FROM events")
+def json_to_record(t):
+    return t.events.select("event_id", F.from_json("props", "k int").alias("r")).select("event_id", (F.col("r.k") + 1).alias("k1"))
+
+
+@query("SELECT user_id, string_agg(event_type, ',' ORDER BY event_id) AS kinds FROM events WHERE event_id < 300 GROUP BY user_id")
+def json_build_and_read_array(t):
+    made = t.events.where("event_id < 300").groupBy("user_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("event_id", "event_type")))).alias("j"))
+    items = F.from_json("j", "array<struct<event_id: long, event_type: string>>")
+    return made.select("user_id", F.array_join(F.transform(items, lambda x: x.event_type), ",").alias("kinds"))
+
+
+@query("SELECT c_custkey, c_custkey AS id, c_mktsegment AS segment, c_nationkey + 1 AS next FROM customer")
+def row_members(t):
+    rows = t.customer.select("c_custkey", F.struct(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"), (F.col("c_nationkey") + 1).alias("next")).alias("row"))
+    return rows.select("c_custkey", "row.*")
+
+
+@query(f"SELECT i, j, greatest(al, bl) AS lo, least(au, bu) AS hi FROM ({RANGES}) WHERE al < bu AND bl < au AND bl < bu")
+def range_intersection(t):
+    a = t.nation.select(F.col("n_nationkey").alias("i"), ranges.make(F.col("n_nationkey"), F.col("n_nationkey") + 5).alias("a"))
+    b = t.nation.select(F.col("n_nationkey").alias("j"), ranges.make(F.col("n_nationkey"), F.col("n_nationkey") + F.col("n_regionkey")).alias("b"))
+    both = a.crossJoin(b).where(ranges.overlaps("a", "b")).select("i", "j", ranges.intersection("a", "b").alias("r"))
+    return both.select("i", "j", F.col("r.lower").alias("lo"), F.col("r.upper").alias("hi"))

@@ -178,3 +178,22 @@ SELECT c_name, n FROM customer JOIN big ON o_custkey = c_custkey""")
 def common_table_expression(t):
     big = t.orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")).where("n > 12")
     return t.customer.join(big, F.col("o_custkey") == F.col("c_custkey")).select("c_name", "n")
+
+
+@query("SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, lang, quality FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id")
+def natural_full_join(t):
+    return j.natural_join(t.documents.select("doc_id", "lang"), t.labels.select("doc_id", "quality"), "full")
+
+
+@query("SELECT count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey AND l_shipdate > o_orderdate AND l_shipdate <= o_orderdate + INTERVAL 30 DAY")
+def range_condition_join(t):
+    late = (F.col("l_shipdate") > F.col("o_orderdate")) & (F.col("l_shipdate") <= F.col("o_orderdate") + F.expr("INTERVAL 30 DAYS"))
+    return t.lineitem.join(t.orders, (F.col("l_orderkey") == F.col("o_orderkey")) & late).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT p_partkey, s_suppkey FROM part JOIN lineitem ON l_partkey = p_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey
+JOIN region ON r_regionkey = n_regionkey WHERE r_name = 'EUROPE' AND p_size = 15 GROUP BY p_partkey, s_suppkey""")
+def five_table_join(t):
+    rows = t.lineitem.join(t.part.where("p_size = 15"), F.col("l_partkey") == F.col("p_partkey")).join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey"))
+    rows = rows.join(t.nation, F.col("n_nationkey") == F.col("s_nationkey")).join(t.region.where("r_name = 'EUROPE'"), F.col("r_regionkey") == F.col("n_regionkey"))
+    return rows.select("p_partkey", "s_suppkey").distinct()

@@ -49,3 +49,18 @@ SELECT node, len(path) AS steps, is_cycle FROM w""")
 def walk_until_cycle(t):
     out = r.walk(edges(t), t.spark.createDataFrame([(3,)], "node int"), "a", "b")
     return out.select("node", F.size("path").cast("long").alias("steps"), "is_cycle")
+
+
+@query(f"SELECT a.id, b.id AS sibling FROM ({TREE}) a JOIN ({TREE}) b ON a.parent_id = b.parent_id AND a.id <> b.id")
+def tree_siblings(t):
+    other = tree(t).select(F.col("id").alias("sibling"), F.col("parent_id").alias("p"))
+    return tree(t).join(other, (F.col("parent_id") == F.col("p")) & (F.col("id") != F.col("sibling"))).select("id", "sibling")
+
+
+@query(f"""WITH RECURSIVE t AS ({TREE}), w(id, sort_path) AS (SELECT id, lpad(id::VARCHAR, 3, '0') FROM t WHERE parent_id IS NULL
+UNION ALL SELECT t.id, sort_path || '/' || lpad(t.id::VARCHAR, 3, '0') FROM w JOIN t ON parent_id = w.id) SELECT id, sort_path FROM w""")
+def tree_depth_first(t):
+    pad = lambda c: F.lpad(F.col(c).cast("string"), 3, "0")
+    below = tree(t).select(F.col("id").alias("child"), F.col("parent_id").alias("p"))
+    base = tree(t).where("parent_id IS NULL").select("id", pad("id").alias("sort_path"))
+    return r.recursive(base, lambda w: w.join(below, F.col("id") == F.col("p")).select(F.col("child").alias("id"), F.concat_ws("/", "sort_path", pad("child")).alias("sort_path")))

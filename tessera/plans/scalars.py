@@ -58,3 +58,26 @@ def date_arithmetic(t):
 @query("SELECT event_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, CAST(ts AS DATE)::VARCHAR AS day FROM events")
 def timestamp_rounding(t):
     return t.events.select("event_id", F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH:mm").alias("hour"), F.col("ts").cast("date").cast("string").alias("day"))
+
+
+@query("SELECT c_custkey, md5(c_name) AS m, reverse(c_mktsegment) AS r, substr(c_name, 1, 4) AS s, lpad(CAST(c_nationkey AS VARCHAR), 3, '0') AS p, strpos(c_name, '#') AS at FROM customer")
+def named_functions(t):
+    return t.customer.select(
+        "c_custkey", F.md5("c_name").alias("m"), F.reverse("c_mktsegment").alias("r"), F.substring("c_name", 1, 4).alias("s"),
+        F.lpad(F.col("c_nationkey").cast("string"), 3, "0").alias("p"), F.instr("c_name", "#").alias("at"))
+
+
+@query("SELECT o_orderkey, round(o_totalprice * 1.19, 4) AS gross FROM orders")
+def vectorised_function(t):
+    """A function of the user's own, over Arrow batches."""
+
+    @F.pandas_udf("double")
+    def gross(price):
+        return price * 1.19
+
+    return t.orders.select("o_orderkey", F.round(gross("o_totalprice"), 4).alias("gross"))
+
+
+@query("SELECT o_orderstatus, round(median(o_totalprice), 4) AS mid FROM orders GROUP BY o_orderstatus")
+def median_of_groups(t):
+    return t.orders.groupBy("o_orderstatus").agg(F.round(F.median("o_totalprice"), 4).alias("mid"))
