@@ -48,6 +48,13 @@ def arrow_schema(ddl: str):
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
+def in_slices(batches: Iterable[Any], rows: int = 1000) -> Iterator[Any]:
+    """The batches in parts, so that few texts at a time are Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_arrow(df: DataFrame, function: Callable[..., Any], schema: str) -> DataFrame:
     """mapInArrow of a function from one record batch to a dict of columns (or an iterator of such dicts)."""
 
@@ -56,7 +63,7 @@ def map_arrow(df: DataFrame, function: Callable[..., Any], schema: str) -> DataF
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in in_slices(batches):
             made = function(batch)
             for columns in [made] if isinstance(made, dict) else made:
                 yield pa.RecordBatch.from_pydict(columns, schema=types)
@@ -64,6 +71,16 @@ def map_arrow(df: DataFrame, function: Callable[..., Any], schema: str) -> DataF
     return df.mapInArrow(run, schema)
 
 
+def map_rows(df: DataFrame, function: Callable[[Any], Any]) -> DataFrame:
+    """mapInArrow of a function between record batches with the columns of ``df``, whatever their names."""
+
+    def run(batches):
+        for batch in in_slices(batches):
+            yield function(batch)
+
+    return df.mapInArrow(run, df.schema)
+
+
 def sorted_groups(batches: Iterable[Any], keys: list[str], columns: tuple[str, ...]) -> Iterator[dict[str, list]]:
     """The columns of each run of rows with equal keys, from batches that are sorted by them."""
     held: dict[str, list] = {c: [] for c in columns}

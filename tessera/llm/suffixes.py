@@ -16,8 +16,10 @@ tasks sort their suffixes into runs, front-code them (length of the prefix share
 suffix before, and the rest) and exchange the runs; a loser tree merges those of a bucket by
 their known common prefixes and compares bytes only beyond them.  The common prefixes that
 the merge leaves between neighbours, with the common endings to the left of the anchors, say
-exactly which windows repeat.  An anchor string with more than ``MOST`` distinct stretches is
-too much for one task; its windows are counted by their hashes instead, wherever they lie.
+exactly which windows repeat.  Beyond ``PAIRED`` neighbours, where pairs get many, the windows at
+each distance from the anchor are told apart by hashes in place of endings.  An anchor string
+with more than ``MOST`` distinct stretches is too much for one task; its windows are counted by
+their hashes wherever they lie.
 
 Semi-joins are reduced by bitmaps of a fixed size (``BITS``); a full one only stops saving.
 
@@ -36,10 +38,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import arrow_schema, cut, map_arrow, read
+from ._common import arrow_schema, cut, in_slices, map_arrow, read
 
 SPAN, GRAM = 200, 64
-MOST, SUFFIXES_IN_BUCKET, SUFFIXES_IN_RUN = 256, 20_000, 50_000
+MOST, PAIRED, SUFFIXES_IN_BUCKET, SUFFIXES_IN_RUN = 8192, 64, 20_000, 20_000
 BITS = 1 << 25
 #: Windows of a text taken on at a time; below 2**24, for places share a word with hashes.
 WINDOWS_AT_ONCE = 1 << 20
@@ -171,7 +173,7 @@ def map_batched(df: DataFrame, function, schema: str, rows: int = 100_000) -> Da
         def put():
             return pa.RecordBatch.from_pydict({k: np.concatenate([x[k] for x in held]) for k in types.names}, schema=types)
 
-        for batch in batches:
+        for batch in in_slices(batches):
             for made in function(batch):
                 held.append(made)
                 n += len(made[types.names[0]])
@@ -298,6 +300,22 @@ def repeats_in_class(lefts: list[bytes], shared: list[int]) -> Iterator[tuple[in
                 yield j, max(0, SPAN - right), left
 
 
+def repeats_by_offset(lefts: list[bytes], suffixes: list[bytes]) -> Iterator[tuple[int, int, int]]:
+    """What repeats_in_class gives, by comparing at each offset the hashes of all members' windows."""
+    raw = np.frombuffer(b"".join([x for left, s in zip(lefts, suffixes, strict=True) for x in (left[::-1], s)]), np.uint8)
+    hashed = Hashed(raw)
+    n_left, n_right = (np.array([len(x) for x in xs]) for xs in (lefts, suffixes))
+    anchor = np.cumsum(n_left + n_right) - n_right
+    again = np.zeros((int(n_left.max()) + 1, len(lefts)), bool)
+    for o in range(len(again)):
+        there = np.flatnonzero((n_left >= o) & (n_right >= SPAN - o))
+        _, which, times = np.unique(hashed.of(anchor[there] - o, anchor[there] - o + SPAN), return_inverse=True, return_counts=True)
+        again[o, there] = times[which] > 1
+    edge = np.diff(np.pad(again.T.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    (i, lo), (_, hi) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+    yield from zip(i.tolist(), lo.tolist(), (hi - 1).tolist(), strict=True)
+
+
 def merged_repeats(reps: DataFrame, n_reps: int) -> DataFrame:
     """k, h, start, end of the bytes that repeat, from sparse suffixes (columns as ``sliced`` makes them)."""
     buckets = max(1, -(-n_reps // SUFFIXES_IN_BUCKET))
@@ -338,10 +356,12 @@ def merged_repeats(reps: DataFrame, n_reps: int) -> DataFrame:
                 rows.setdefault(c, []).extend(batch.column(c).to_pylist())
         klass: list[tuple[int, int]] = []
         shared: list[int] = []
+        strings: list[bytes] = []
 
         def close():
             if len(klass) > 1:
-                for i, lo, hi in repeats_in_class([rows["lefts"][r][p] for r, p in klass], shared):
+                lefts = [rows["lefts"][r][p] for r, p in klass]
+                for i, lo, hi in repeats_in_class(lefts, shared) if len(klass) <= PAIRED else repeats_by_offset(lefts, strings):
                     r, p = klass[i]
                     out["k"].append(rows["k"][r][p])
                     out["h"].append(rows["h"][r][p])
@@ -349,12 +369,14 @@ def merged_repeats(reps: DataFrame, n_reps: int) -> DataFrame:
                     out["end"].append(rows["anchor"][r][p] - lo + SPAN)
             klass.clear()
             shared.clear()
+            strings.clear()
 
-        for run, place, known, _ in LoserTree(list(zip(rows["shared"], rows["rests"], strict=True))):
+        for run, place, known, string in LoserTree(list(zip(rows["shared"], rows["rests"], strict=True))):
             if known < GRAM:
                 close()
             klass.append((run, place))
             shared.append(known)
+            strings.append(string)
         close()
         yield out
 

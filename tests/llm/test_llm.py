@@ -60,7 +60,7 @@ def brute_removed(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("most", [256, 2])
+@pytest.mark.parametrize("most", [8192, 2])
 def test_suffixes(spark, docs, most):
     rows = [(r.doc_id, r.text) for r in docs.collect() if len(r.text or "") < 20_000]
     rows += [(None, rows[10][1]), rows[11], (rows[12][0], rows[13][1] + "é" * 150)]
@@ -81,6 +81,25 @@ def test_stretches_in_parts(monkeypatch):
     assert sum(whole["n"]) == len(raw) - suffixes.SPAN + 1
 
 
+def test_classes_by_pairs_and_by_offset():
+    rng = random.Random(21)
+    for _ in range(30):
+        text = bytes(rng.choice(b"ab") for _ in range(400))
+        members = []
+        for _ in range(rng.randint(2, 12)):
+            lo, hi = rng.randint(64, 199), rng.randint(265, 330)
+            t = bytearray(text)
+            for _ in range(rng.randint(0, 2)):
+                t[rng.choice([rng.randint(0, 199), rng.randint(264, 399)])] = 99
+            members.append((bytes(t[200:hi]), bytes(t[lo:200])[::-1]))
+        members.sort()
+        shared, _ = suffixes.front_coded([m[0] for m in members])
+        covered = []
+        for found in (suffixes.repeats_in_class([m[1] for m in members], shared), suffixes.repeats_by_offset([m[1] for m in members], [m[0] for m in members])):
+            covered.append({(i, o) for i, lo, hi in found for o in range(lo, hi + 1)})
+        assert covered[0] == covered[1]
+
+
 def test_loser_tree():
     rng = random.Random(5)
     for _ in range(200):
