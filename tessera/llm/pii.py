@@ -136,7 +136,7 @@ class Nodes:
             if last == i - 1:
                 self.chain.append((n - 1, n))
             if k is not None:
-                if k in last_of and last_of[k] != n - 1:
+                if k in last_of and (last_of[k] != n - 1 or last != i - 1):  # neighbours share a chain potential already
                     self.skip.append((last_of[k], n))
                 last_of[k] = n
             last = i
