@@ -37,7 +37,7 @@ SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 LATIN = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
 CHUNK = rf" ?[{LATIN}]++(?=[{SPACE}.,;:!?|]|\Z)| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Distinct chunks whose ids a task keeps, and characters of text it takes on at a time.
-KEPT_CHUNKS, TEXT_AT_ONCE = 700_000, 4_000_000
+KEPT_CHUNKS, TEXT_AT_ONCE = 400_000, 1_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -172,12 +172,11 @@ class Codec:
 _CODECS: dict[str, Codec] = {}
 
 
-def codec(ranks: dict[bytes, int], pattern: str) -> Codec:
-    """One codec for each vocabulary and Python worker."""
-    key = f"{len(ranks)}:{hash(frozenset(ranks.items()))}:{pattern}"
-    if key not in _CODECS:
-        _CODECS[key] = Codec(ranks, pattern)
-    return _CODECS[key]
+def codec(name: str, ranks: dict[bytes, int], pattern: str) -> Codec:
+    """One codec for each vocabulary (told by name) and Python worker."""
+    if name not in _CODECS:
+        _CODECS[name] = Codec(ranks, pattern)
+    return _CODECS[name]
 
 
 def in_blocks(texts: list[str | None]) -> Iterable[list[str]]:
@@ -195,7 +194,9 @@ def in_blocks(texts: list[str | None]) -> Iterable[list[str]]:
 def _vocabulary(spark: SparkSession, path: str | None):
     from public_tokenizers import PATTERN
 
-    return spark.sparkContext.broadcast((read_ranks(path or tokenizer_file(VOCABULARY)), PATTERN))
+    ranks = read_ranks(path or tokenizer_file(VOCABULARY))
+    name = hashlib.md5(repr((sorted(ranks.items()), PATTERN)).encode()).hexdigest()
+    return spark.sparkContext.broadcast((name, ranks, PATTERN))
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:

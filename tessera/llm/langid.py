@@ -19,11 +19,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import fold_of, map_arrow, read
+from ._common import fold_of, map_arrow, map_rows, read
 
 DIMENSIONS = 1024
 FIT_PER_LANG = 1000
@@ -163,13 +162,14 @@ def keep_known(docs: DataFrame, least: float = 0.0) -> DataFrame:
     langs, prototypes = fit(docs.where(fold_of(F.col("doc_id")) != 0))
     shared = docs.sparkSession.sparkContext.broadcast((langs, prototypes, least))
 
-    @F.pandas_udf("boolean")
-    def known(texts):
+    def known(batch):
+        import pyarrow as pa
+
         langs, prototypes, least = shared.value
-        bundles = encoder(prototypes.shape[1]).bundles([t if isinstance(t, str) else None for t in texts])
-        return pd.Series([v is not None and (not langs or float((prototypes @ v).max()) >= least) for v in bundles], dtype=bool)
+        bundles = encoder(prototypes.shape[1]).bundles(batch.column(batch.schema.get_field_index("text")).to_pylist())
+        return batch.filter(pa.array([v is not None and (not langs or float((prototypes @ v).max()) >= least) for v in bundles], pa.bool_()))
 
-    return docs.where(known("text"))
+    return map_rows(docs, known)
 
 
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

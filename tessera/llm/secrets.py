@@ -23,7 +23,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import map_arrow, read
+from ._common import map_arrow, map_rows, read
 from .spans import Span, clear_of, digest, joined, masked
 
 BASE_KINDS = ("assign", "access", "hex")
@@ -124,21 +124,29 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The documents with every span of a secret masked; n_chars, where there is one, follows the text."""
-
-    @F.pandas_udf("string")
-    def mask(texts):
-        def one(text):
-            base = base_spans(text)
-            return masked(text, base + entropy_spans(text, base))
-
-        return texts.map(one, na_action="ignore")
-
-    text = F.coalesce(mask(worth(F.col("text"))), F.col("text"))
-    out = docs.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    """The documents with every span of a secret masked; n_chars, where there is one, follows a changed text."""
+
+    maybe = re.compile(WORTH)
+
+    def mask(batch):
+        import pyarrow as pa
+
+        at, n = (batch.schema.get_field_index(c) for c in ("text", "n_chars"))
+        texts, changed = batch.column(at).to_pylist(), {}
+        for i, text in enumerate(texts):
+            if text and maybe.search(text):
+                base = base_spans(text)
+                if spans := base + entropy_spans(text, base):
+                    changed[i] = masked(text, spans)
+        if not changed:
+            return batch
+        columns = list(batch.columns)
+        columns[at] = pa.array([changed.get(i, t) for i, t in enumerate(texts)], batch.schema.field(at).type)
+        if n >= 0:
+            columns[n] = pa.array([len(changed[i]) if i in changed else x for i, x in enumerate(batch.column(n).to_pylist())], batch.schema.field(n).type)
+        return pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return map_rows(docs, mask)
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
