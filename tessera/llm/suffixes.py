@@ -348,12 +348,13 @@ def merged_repeats(reps: DataFrame, n_reps: int) -> DataFrame:
                 yield from put()
         yield from put()
 
-    def merge(batches):
+    end_types = arrow_schema(end_schema := "k long, h int, start long, end long")
+
+    def merge(table):
+        import pyarrow as pa
+
         out: dict[str, list] = {"k": [], "h": [], "start": [], "end": []}
-        rows: dict[str, list] = {}
-        for batch in batches:
-            for c in batch.schema.names:
-                rows.setdefault(c, []).extend(batch.column(c).to_pylist())
+        rows = {c: table.column(c).to_pylist() for c in table.schema.names}
         klass: list[tuple[int, int]] = []
         shared: list[int] = []
         strings: list[bytes] = []
@@ -378,17 +379,9 @@ def merged_repeats(reps: DataFrame, n_reps: int) -> DataFrame:
             shared.append(known)
             strings.append(string)
         close()
-        yield out
-
-    end_schema = "k long, h int, start long, end long"
-    end_types = arrow_schema(end_schema)
-
-    def merge_group(table):
-        import pyarrow as pa
-
-        return pa.Table.from_pydict(next(merge(table.to_batches())), schema=end_types)
+        return pa.Table.from_pydict(out, schema=end_types)
 
-    return reps.mapInArrow(runs, schema).groupBy("bucket").applyInArrow(merge_group, end_schema)
+    return reps.mapInArrow(runs, schema).groupBy("bucket").applyInArrow(merge, end_schema)
 
 
 def sliced(docs: DataFrame, wanted: DataFrame) -> DataFrame:
