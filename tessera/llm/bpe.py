@@ -37,7 +37,7 @@ SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 LATIN = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
 CHUNK = rf" ?[{LATIN}]++(?=[{SPACE}.,;:!?|]|\Z)| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Distinct chunks whose ids a task keeps, and characters of text it takes on at a time.
-KEPT_CHUNKS, TEXT_AT_ONCE = 400_000, 1_000_000
+KEPT_CHUNKS, TEXT_AT_ONCE = 600_000, 1_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
