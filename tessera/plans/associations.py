@@ -94,6 +94,15 @@ def composite_keys(t):
     return a.eager(few.where("doc_id < 100"), same).select("doc_id", F.size("same").cast("long").alias("n"))
 
 
+@query("""SELECT d.doc_id, coalesce(x.n, 0) AS n FROM documents d LEFT JOIN (SELECT lang, source, count(*) AS n FROM documents GROUP BY lang, source) x
+ON x.lang = d.lang AND x.source = d.source""")
+def composite_keys_whole(t):
+    """All documents on both sides; each key's documents are counted before the join, so that nothing grows with the square of a group."""
+    few = t.documents.select("doc_id", "lang", "source")
+    same = a.Association("same", few.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")), {"lang": "lang", "source": "source"}, one=True)
+    return a.eager(few, same).select("doc_id", F.coalesce("same.n", F.lit(0)).alias("n"))
+
+
 @query("""SELECT n_nationkey, count(DISTINCT c_custkey) AS customers, count(o_orderkey) AS orders FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey
 LEFT JOIN orders ON o_custkey = c_custkey GROUP BY n_nationkey""")
 def eager_nested(t):
