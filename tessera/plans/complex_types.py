@@ -132,13 +132,22 @@ def json_to_record(t):
     return t.events.select("event_id", F.from_json("props", "k int").alias("r")).select("event_id", (F.col("r.k") + 1).alias("k1"))
 
 
-@query("SELECT user_id, string_agg(event_type, ',' ORDER BY event_id) AS kinds FROM events WHERE event_id < 300 GROUP BY user_id")
-def json_build_and_read_array(t):
-    made = t.events.where("event_id < 300").groupBy("user_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("event_id", "event_type")))).alias("j"))
+def kinds_by_json(events):
+    made = events.groupBy("user_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("event_id", "event_type")))).alias("j"))
     items = F.from_json("j", "array<struct<event_id: long, event_type: string>>")
     return made.select("user_id", F.array_join(F.transform(items, lambda x: x.event_type), ",").alias("kinds"))
 
 
+@query("SELECT user_id, string_agg(event_type, ',' ORDER BY event_id) AS kinds FROM events WHERE event_id < 300 GROUP BY user_id")
+def json_build_and_read_array(t):
+    return kinds_by_json(t.events.where("event_id < 300"))
+
+
+@query("SELECT user_id, string_agg(event_type, ',' ORDER BY event_id) AS kinds FROM events GROUP BY user_id")
+def json_build_and_read_array_whole(t):
+    return kinds_by_json(t.events)
+
+
 @query("SELECT c_custkey, c_custkey AS id, c_mktsegment AS segment, c_nationkey + 1 AS next FROM customer")
 def row_members(t):
     rows = t.customer.select("c_custkey", F.struct(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"), (F.col("c_nationkey") + 1).alias("next")).alias("row"))

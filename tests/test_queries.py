@@ -47,7 +47,7 @@ def test_query(spark, duck, name):
     assert rows_of(got.columns, got.collect()) == rows_of(columns, want.fetchall())
 
 
-@pytest.mark.parametrize(("name", "table", "key"), [("composite_keys_whole", "documents", "doc_id")])
+@pytest.mark.parametrize(("name", "table", "key"), [("composite_keys_whole", "documents", "doc_id"), ("json_build_and_read_array_whole", "events", "user_id")])
 def test_whole_tables_are_read(spark, duck, name, table, key):
     got = {r[key] for r in QUERIES[name](spark, DATA).select(key).collect()}
     assert got == {r[0] for r in duck.execute(f"SELECT DISTINCT {key} FROM {table}").fetchall()}
