@@ -158,7 +158,10 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray) -> DataFr
 
 
 def keep_known(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """The documents whose language is known: those not predicted ``und`` and scored ``least`` or more."""
+    """The documents whose language is known: those with a letter, scored ``least`` or more (a negative cosine scores 0, as in ``predict``).
+
+    Without any training document there is no score, and every document with a letter stays.
+    """
     langs, prototypes = fit(docs.where(fold_of(F.col("doc_id")) != 0))
     shared = docs.sparkSession.sparkContext.broadcast((langs, prototypes, least))
 
@@ -167,7 +170,7 @@ def keep_known(docs: DataFrame, least: float = 0.0) -> DataFrame:
 
         langs, prototypes, least = shared.value
         bundles = encoder(prototypes.shape[1]).bundles(batch.column(batch.schema.get_field_index("text")).to_pylist())
-        return batch.filter(pa.array([v is not None and (not langs or float((prototypes @ v).max()) >= least) for v in bundles], pa.bool_()))
+        return batch.filter(pa.array([v is not None and (not langs or max(0.0, float((prototypes @ v).max())) >= least) for v in bundles], pa.bool_()))
 
     return map_rows(docs, known)
 

@@ -387,6 +387,16 @@ def test_langid(spark):
     assert langid.predict(table.limit(0), langs, prototypes).collect() == []
 
 
+def test_known_documents_of_negative_cosine_stay(spark):
+    rng = random.Random(14)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(5))
+    rows = [(i, " ".join(word("abcde") for _ in range(30)), "aa") for i in range(50)] + [(100 + i, word("жшюяцд"), None) for i in range(50)] + [(200, "12 !", None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in langid.predict(table, *langid.fit(table.where(langid.fold_of(F.col("doc_id")) != 0))).collect()}
+    assert sum(r.score == 0 and r.lang_pred == "aa" for r in got.values()) > 5
+    assert {r.doc_id for r in langid.keep_known(table).collect()} == {i for i, r in got.items() if r.lang_pred != "und"} == set(got) - {200}
+
+
 def test_grams_of_a_text():
     text = "".join(random.Random(3).choice("abc é.") for _ in range(5000))
     counts = langid.Encoder(64).counts(text)
