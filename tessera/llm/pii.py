@@ -3,8 +3,10 @@
 The nodes are the tokens of a document that hold a digit or an at sign, or repeat the key of
 one that does.  Neighbouring nodes share chain potentials; nodes of the same key (the same
 digits, or the same letters and digits in any case and punctuation) are linked at any
-distance by skip potentials.  Loopy belief propagation passes messages over all documents
-of a block at once, so that repeated and similar tokens agree on their label; a token that
+distance by skip potentials.  A key that a document holds three times or more also has a hub, a node
+without a token that is linked to each of its occurrences, so that evidence reaches any of them over
+two links.  Loopy belief propagation passes messages over all documents of a block at once until
+they converge, so that repeated and similar tokens agree on their label; a token that
 the base patterns miss is found through its look-alikes.  What the beliefs add has the
 kinds ``crf_email`` and so on and never overlaps a base span.
 
@@ -31,8 +33,10 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, *(f"crf_{k}" for k in BASE_KINDS))
 LABELS = ("none", *BASE_KINDS)
 FIT_DOCS = 20_000
-#: Belief from which a token counts, rounds of messages, log weight of a base match, characters of text in a block.
-SURE, ROUNDS, CLAMP, BLOCK = 0.9, 10, 12.0, 2_000_000
+#: Belief from which a token counts, log weight of a base match, characters of text in a block.
+SURE, CLAMP, BLOCK = 0.9, 12.0, 2_000_000
+#: Step of a message, updates of a message after which its step shrinks, so that every run ends, and change that counts.
+STEP, STEADY, TOLERANCE = 0.5, 100, 1e-3
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -111,6 +115,7 @@ class Nodes:
 
     def __init__(self):
         self.doc, self.span, self.look, self.label, self.chain, self.skip = [], [], [], [], [], []
+        self.hub: list[list[int]] = []  # the occurrences of each hub's key
 
     def add(self, doc: int, text: str, base: list[Span]) -> None:
         covers = sorted(base, key=lambda s: (s[1], BASE_KINDS.index(s[0])))
@@ -118,6 +123,7 @@ class Nodes:
         marked = [any("0" <= c <= "9" or c == "@" for c in t) for _, _, t in tokens]
         keys = {k for (_, _, t), x in zip(tokens, marked, strict=True) if x and (k := key_of(t))}
         last_of: dict[str, int] = {}
+        of_key: dict[str, list[int]] = {}
         last, c = -2, 0
         for i, (a, b, token) in enumerate(tokens):
             k = key_of(token) if marked[i] or keys else None
@@ -139,7 +145,9 @@ class Nodes:
                 if k in last_of and (last_of[k] != n - 1 or last != i - 1):  # neighbours share a chain potential already
                     self.skip.append((last_of[k], n))
                 last_of[k] = n
+                of_key.setdefault(k, []).append(n)
             last = i
+        self.hub += [x for x in of_key.values() if len(x) > 2]
 
 
 def potentials(counts: list[tuple[str, str, str, int]]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
@@ -161,26 +169,39 @@ def potentials(counts: list[tuple[str, str, str, int]]) -> tuple[dict[str, np.nd
 def beliefs(nodes: Nodes, model) -> np.ndarray:
     """Label probabilities of each node by loopy sum-product message passing."""
     looks, prior, chain, skip = model
-    n, m = len(nodes.doc), len(LABELS)
-    unary = np.array([looks.get(x, prior) for x in nodes.look]).reshape(n, m)
+    n, hubs, m = len(nodes.doc), len(nodes.hub), len(LABELS)
+    unary = np.concatenate([np.array([looks.get(x, prior) for x in nodes.look]).reshape(n, m), np.zeros((hubs, m))])
     label = np.array(nodes.label, int)
     known = np.flatnonzero(label)
     unary[known, label[known]] += CLAMP
-    a = np.array([*nodes.chain, *nodes.skip], int).reshape(-1, 2)
+    spokes = [(i, n + h) for h, members in enumerate(nodes.hub) for i in members]
+    a = np.array([*nodes.chain, *nodes.skip, *spokes], int).reshape(-1, 2)
     e = len(a)
     src, dst = np.concatenate([a[:, 0], a[:, 1]]), np.concatenate([a[:, 1], a[:, 0]])
-    is_chain = np.arange(e) < len(nodes.chain)
-    weights = np.where(is_chain[:, None, None], chain, skip)
-    weights = np.exp(np.concatenate([weights, weights.transpose(0, 2, 1)]))
+    # a spoke only costs disagreement: labels that agree gain nothing from one, whatever they are
+    spoke = skip - (np.diag(skip)[:, None] + np.diag(skip)) / 2
+    spoke = np.minimum(spoke, 0)
+    kind = np.repeat([0, 1, 2], [len(nodes.chain), len(nodes.skip), len(spokes)])
+    weights = np.exp(np.array([chain, skip, spoke, chain.T, skip.T, spoke.T]))
+    kind = np.concatenate([kind, kind + 3])
     back = np.concatenate([np.arange(e, 2 * e), np.arange(e)])
-    messages = np.zeros((2 * e, m))
-    total = unary
-    for _ in range(ROUNDS if e else 0):
-        out = total[src] - messages[back]
+    messages, updates = np.zeros((2 * e, m)), np.zeros(2 * e, int)
+    total = unary.copy()
+    live = np.arange(2 * e)
+    while len(live):
+        out = total[src[live]] - messages[back[live]]
         out = np.exp(out - out.max(1, keepdims=True))
-        new = np.log(np.einsum("ei,eij->ej", out, weights))
-        messages = 0.5 * messages + 0.5 * (new - new.max(1, keepdims=True))
-        total = unary + np.stack([np.bincount(dst, messages[:, k], n) for k in range(m)], 1)
+        new = np.log(np.einsum("ei,eij->ej", out, weights[kind[live]]))
+        updates[live] += 1
+        step = STEP * np.minimum(1, STEADY / updates[live]) ** 2
+        change = step[:, None] * (new - new.max(1, keepdims=True) - messages[live])
+        messages[live] += change
+        total += np.stack([np.bincount(dst[live], change[:, k], n + hubs) for k in range(m)], 1)
+        far = live[np.abs(change).max(1) > TOLERANCE]
+        awake = np.zeros(n + hubs, bool)
+        awake[src[far]] = awake[dst[far]] = True
+        live = np.flatnonzero(awake[src])
+    total = total[:n]
     p = np.exp(total - total.max(1, keepdims=True))
     return p / p.sum(1, keepdims=True)
 

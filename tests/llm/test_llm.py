@@ -448,6 +448,15 @@ def test_skip_links_make_look_alikes_agree():
     assert pii.crf_spans([(alone, pii.base_spans(alone))], model)[0] == []
 
 
+def test_a_key_repeated_fifty_times_gets_one_label():
+    again = " ".join("filler words here. 4111.1111.1111.1111 now" for _ in range(50))
+    counts = [("look", "916", "3", 50), ("look", "94.94.94.94", "0", 27), ("look", "94.94.94.94", "3", 25), ("chain", "0", "0", 50), ("skip", "3", "3", 400), ("skip", "0", "0", 400)]
+    model = pii.potentials(counts)
+    for text in ("pay 4111111111111111 soon. " + again, again + " pay 4111111111111111 soon."):
+        assert [k for k, _, _ in pii.crf_spans([(text, pii.base_spans(text))], model)[0]] == ["crf_card"] * 50
+    assert pii.crf_spans([(again, pii.base_spans(again))], model)[0] == []
+
+
 # 10
 
 
