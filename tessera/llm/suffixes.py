@@ -26,7 +26,8 @@ Semi-joins are reduced by bitmaps of a fixed size (``BITS``); a full one only st
 Defined results: a null text is empty; texts below 200 bytes lose nothing; a row that
 repeats another (id and text) is a copy like any other; rows with a null id are compared
 like the rest; an empty table gives no rows; other columns are not read.  Equal anchors,
-stretches and hot windows are told by 128 bits of hashes.
+stretches and hot windows are told by 128 bits of hashes, windows in classes of more than
+``PAIRED`` by 64.
 """
 
 from __future__ import annotations
