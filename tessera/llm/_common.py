@@ -22,15 +22,22 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """``df``, computed once and kept in the shared checkpoint folder, without its lineage.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset
-    (tests, a laptop) a temporary one is made.
+    The folder is the session's ``spark.checkpoint.dir``; where that is unset, a session in one
+    process (tests, a laptop) gets a temporary one, and any other session an error.
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
+def sampled(share: float | Column, name: str, key: str = "doc_id") -> Column:
+    """Whether a row is in the sample ``name`` of this share, by a hash of its key; any share above 0 chooses rows, however small."""
+    return F.xxhash64(key, F.lit(name)) / F.lit(2.0**64) + F.lit(0.5) < share
+
+
 def words_of(text: Column) -> Column:
     """The words of a text as an array; a null text has none."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({WORD})"), 1)
@@ -55,28 +62,39 @@ def in_slices(batches: Iterable[Any], rows: int = 1000) -> Iterator[Any]:
             yield batch.slice(at, rows)
 
 
-def map_arrow(df: DataFrame, function: Callable[..., Any], schema: str) -> DataFrame:
-    """mapInArrow of a function from one record batch to a dict of columns (or an iterator of such dicts)."""
+def map_arrow(df: DataFrame, function: Callable[..., Any], schema: str, state: Callable[[], Any] | None = None) -> DataFrame:
+    """mapInArrow of a function from one record batch to a dict of columns (or an iterator of such dicts).
+
+    state: makes what the batches of a task share, the function's second argument; it ends with the task.
+    """
 
     types = arrow_schema(schema)
 
     def run(batches):
         import pyarrow as pa
 
+        more = () if state is None else (state(),)
         for batch in in_slices(batches):
-            made = function(batch)
+            made = function(batch, *more)
             for columns in [made] if isinstance(made, dict) else made:
                 yield pa.RecordBatch.from_pydict(columns, schema=types)
+        del more, batches
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
 
-def map_rows(df: DataFrame, function: Callable[[Any], Any]) -> DataFrame:
-    """mapInArrow of a function between record batches with the columns of ``df``, whatever their names."""
+def map_rows(df: DataFrame, function: Callable[..., Any], state: Callable[[], Any] | None = None) -> DataFrame:
+    """mapInArrow of a function between record batches with the columns of ``df``, whatever their names; state as in map_arrow."""
 
     def run(batches):
+        import pyarrow as pa
+
+        more = () if state is None else (state(),)
         for batch in in_slices(batches):
-            yield function(batch)
+            yield function(batch, *more)
+        del more, batches
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, df.schema)
 

@@ -36,8 +36,10 @@ SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Plain words before white space or a mark that no pattern joins to them come first, so that chunks differ less.
 LATIN = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
 CHUNK = rf" ?[{LATIN}]++(?=[{SPACE}.,;:!?|]|\Z)| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-#: Distinct chunks whose ids a task keeps, and characters of text it takes on at a time.
-KEPT_CHUNKS, TEXT_AT_ONCE = 600_000, 1_000_000
+#: Bytes of chunks and their ids, and pairs, that a task keeps (they end with it), and characters of text it takes on at a time.
+KEPT_BYTES, KEPT_PAIRS, TEXT_AT_ONCE = 64_000_000, 300_000, 1_000_000
+#: About what a chunk and its ids take beside their bytes.
+OBJECTS = 180
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -137,6 +139,7 @@ class Codec:
         spaces = pattern.replace(r"[^\s", "[^" + SPACE).replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")
         self.pieces = regex.compile(spaces).findall
         self.known: dict[str, bytes] = {}
+        self.held = 0  # bytes in known
 
     def learn(self, chunks: Iterable[str]) -> None:
         """Replays the merges over the distinct pieces of all these chunks."""
@@ -149,15 +152,18 @@ class Codec:
             ids[p] = pack(f"<{len(found)}I", *found)
         self.known |= ids
         known = self.known
+        self.held += sum([len(p) + len(x) + OBJECTS for p, x in ids.items()])
         for c, ps in split:
             if len(ps) > 1:
-                known[c] = b"".join([known[p] for p in ps])
+                known[c] = made = b"".join([known[p] for p in ps])
+                self.held += len(c) + len(made) + OBJECTS
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         found = [self.chunks(t) for t in texts]
-        if len(self.known) > KEPT_CHUNKS:
+        if self.held > KEPT_BYTES:
             self.known.clear()
-        if len(self.pairs) > 4 * KEPT_CHUNKS:
+            self.held = 0
+        if len(self.pairs) > KEPT_PAIRS:
             self.pairs.clear()
         new = set().union(*found).difference(self.known)
         if new:
@@ -169,16 +175,6 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_CODECS: dict[str, Codec] = {}
-
-
-def codec(name: str, ranks: dict[bytes, int], pattern: str) -> Codec:
-    """One codec for each vocabulary (told by name) and Python worker."""
-    if name not in _CODECS:
-        _CODECS[name] = Codec(ranks, pattern)
-    return _CODECS[name]
-
-
 def in_blocks(texts: list[str | None]) -> Iterable[list[str]]:
     block, size = [], 0
     for t in texts:
@@ -195,33 +191,31 @@ def _vocabulary(spark: SparkSession, path: str | None):
     from public_tokenizers import PATTERN
 
     ranks = read_ranks(path or tokenizer_file(VOCABULARY))
-    name = hashlib.md5(repr((sorted(ranks.items()), PATTERN)).encode()).hexdigest()
-    return spark.sparkContext.broadcast((name, ranks, PATTERN))
+    return spark.sparkContext.broadcast((ranks, PATTERN))
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id and ids, an array of token ids; path: a rank file in tiktoken's format."""
     shared = _vocabulary(docs.sparkSession, path)
 
-    def run(batch):
-        made, at = codec(*shared.value), 0
+    def run(batch, made):
+        at = 0
         for texts in in_blocks(batch.column("text").to_pylist()):
             ids = [np.frombuffer(x, "<u4").astype("i4") for x in made.encode_all(texts)]
             yield {"doc_id": batch.column("doc_id").slice(at, len(texts)), "ids": ids}
             at += len(texts)
 
-    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>", lambda: Codec(*shared.value))
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id and bytes from doc_id and ids; null ids are empty."""
     shared = _vocabulary(encoded.sparkSession, path)
 
-    def run(batch):
-        made = codec(*shared.value)
+    def run(batch, made):
         return {"doc_id": batch.column("doc_id"), "bytes": [made.decode(np.array(x or [], "<u4").tobytes()) for x in batch.column("ids").to_pylist()]}
 
-    return map_arrow(encoded.select("doc_id", "ids"), run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, bytes binary")
+    return map_arrow(encoded.select("doc_id", "ids"), run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, bytes binary", lambda: Codec(*shared.value))
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -229,8 +223,8 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     shared = _vocabulary(docs.sparkSession, path)
     sha = lambda b: hashlib.sha256(b).hexdigest()
 
-    def run(batch):
-        made, at = codec(*shared.value), 0
+    def run(batch, made):
+        at = 0
         for texts in in_blocks(batch.column("text").to_pylist()):
             ids = made.encode_all(texts)
             yield {
@@ -240,7 +234,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
             at += len(texts)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", lambda: Codec(*shared.value))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,23 +2,26 @@
 
 Every distinct shingle set is one class.  Each class is posted under the pairs of
 coordinate and value of its MinHash signature; two sets of similarity 0.75 agree in about
-three quarters of the ``COORDINATES``, so that pairs with fewer than ``MATCHES`` collisions
-are no candidates (below 5e-6 of the pairs at the very threshold are lost so).
+three quarters of the ``COORDINATES``, and only pairs with ``MATCHES`` collisions or more
+are candidates (below 5e-6 of the pairs at the very threshold are lost so).
 
 Prefix: postings nobody shares are dropped, and classes left with fewer than ``MATCHES``;
 of the rest of its m postings, rarest first, a class keeps the first m - MATCHES + 1, since
 two classes that collide MATCHES times meet in those.  Skip: every list first compares its
 members with one hub only; once those links are joined to components, lists that lie within
-one component are skipped.  The members of the other lists are counted out on their full sets,
-in blocks of at most about ``BLOCK`` against each other and without ever writing a pair: a block
+one component are skipped, and in the others members of the largest component meet only those outside it.
+In what is left, collisions are counted in blocks, without ever writing a pair: a pair counts in the list
+of the first prefix coordinate that it shares, if its classes are in different components.  Only members
+of a pair with ``MATCHES`` collisions bring their full sets, on which the pairs are then confirmed; a block
 returns the links that span its components.  So a large group of near copies costs a few
 comparisons a member, and no link between components is lost.
 
 Defined results: a text that is null, empty or without words has an empty set and links
 with nothing; with fewer than five words the whole sequence is the one shingle; a row with a
-null id links with nothing and is kept; rows that repeat an id share its component; an
-empty table gives no rows; other columns are not read.  Shingles are compared by 64-bit,
-whole sets by 128-bit hashes.
+null id links with nothing and is kept; rows that repeat an id are documents of their own, each linked by
+its own text, and the component is named by the smallest id among its rows; ``dedup`` keeps one row of each
+component, also of equal rows; an empty table gives no rows; other columns are not read.  Shingles are compared
+by 64-bit, whole sets and rows by 128-bit hashes.
 """
 
 from __future__ import annotations
@@ -26,17 +29,16 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ._common import arrow_schema, cut, map_arrow, read, sorted_groups
+from ._common import arrow_schema, cut, in_slices, map_arrow, read, sorted_groups
 from .components import components
 
 WORDS, SHARE = 5, 75
 COORDINATES, MATCHES = 48, 22
-#: Members of a list in one block; shingles that a block counts at a time.
-BLOCK, COLUMNS = 1024, 4096
+#: Members of a list in one block, and shingles of their sets together.
+BLOCK, SHINGLES = 1024, 2_000_000
 _RNG = np.random.default_rng(7411)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = _RNG.integers(1, 2**63, WORDS + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -85,11 +87,15 @@ def signature(sets: np.ndarray) -> np.ndarray:
     return _mixed(low + np.arange(COORDINATES, dtype=np.uint64) * np.uint64(_BASE)).view(np.int64)
 
 
+def text_hash(text: Column) -> Column:
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit("text"), text).alias("b"))
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_id (of the whole set; null if empty), signature."""
+    """doc_id, of_text (hashes of the text), n_shingles, set_id (of the whole set; null if empty), signature."""
 
     def run(batch):
-        out = {"doc_id": batch.column("doc_id"), "n_shingles": [], "set_id": [], "signature": []}
+        out = {"doc_id": batch.column("doc_id"), "of_text": batch.column("of_text"), "n_shingles": [], "set_id": [], "signature": []}
         for text in batch.column("text").to_pylist():
             s = shingles(text)
             out["n_shingles"].append(len(s))
@@ -98,17 +104,20 @@ def sketches(docs: DataFrame) -> DataFrame:
         return out
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_shingles long, set_id binary, signature array<long>")
+    return map_arrow(
+        docs.select("doc_id", "text", text_hash(F.col("text")).alias("of_text")), run,
+        f"doc_id {kind}, of_text struct<a: long, b: long>, n_shingles long, set_id binary, signature array<long>")
 
 
 def prefix_postings(classes: DataFrame) -> DataFrame:
-    """rep, token: the postings of each class's prefix."""
-    posts = classes.select("rep", F.explode("signature").alias("token"))
-    shared = cut(posts.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
-    posts = posts.join(shared, "token")
-    by_rep = Window.partitionBy("rep")
-    posts = posts.withColumn("m", F.count(F.lit(1)).over(by_rep)).withColumn("nth", F.row_number().over(by_rep.orderBy("df", "token")))
-    return posts.where(F.col("m") >= MATCHES).where(F.col("nth") <= F.col("m") - MATCHES + 1).select("rep", "token")
+    """rep, place (of the coordinate), token, mask (the coordinates of the prefix as bits): the postings of each class's prefix."""
+    posts = classes.select("rep", F.posexplode("signature").alias("place", "token"))
+    shared = posts.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    ranked = posts.join(shared, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "token", "place"))).alias("p"))
+    prefix = F.slice("p", F.lit(1), F.size("p") - MATCHES + 1)
+    kept = ranked.where(F.size("p") >= MATCHES).select("rep", prefix.alias("p"))
+    mask = F.aggregate("p", F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.place)))
+    return kept.select("rep", F.explode("p").alias("x"), mask.alias("mask")).select("rep", "x.place", "x.token", "mask")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -131,104 +140,180 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_arrow(pairs.join(left, "a").join(right, "b"), run, "a long, b long")
 
 
-def spanning_links(sets: list[np.ndarray], component: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (member, smaller member) that join what is similar enough and in different components.
+def candidates(signatures: np.ndarray, masks: np.ndarray, place: int, component: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """For members i < j of a list (of the coordinate ``place``), whether the pair is met here and collides often enough.
 
-    side: 0 where every two members meet, else 1 or 2, and only different sides meet.
+    Met here: in different components, on different sides (side 0 where every two members meet), and no earlier coordinate
+    is in both prefixes with one value.
+    """
+    n = len(masks)
+    met = np.triu((component[:, None] != component[None, :]) & ((side[:, None] != side[None, :]) | (side[:, None] == 0)), 1)
+    if not met.any():
+        return met
+    if n <= 64:
+        equal = signatures[:, None, :] == signatures[None, :, :]
+        held = (masks[:, None] >> np.arange(place) & 1).astype(bool)
+        return met & (equal.sum(2) >= MATCHES) & ~(equal[:, :, :place] & held[:, None, :] & held[None, :, :]).any(2)
+    times = np.zeros((n, n), np.uint8)
+    for c in range(COORDINATES):
+        equal = signatures[:, None, c] == signatures[None, :, c]
+        times += equal
+        if c < place:
+            held = (masks >> c & 1).astype(bool)
+            met &= ~(equal & held[:, None] & held[None, :])
+    return met & (times >= MATCHES)
+
+
+def spanning_links(sets: list[np.ndarray], component: np.ndarray, may: np.ndarray) -> list[tuple[int, int]]:
+    """Links among the pairs i < j that ``may`` marks, as many as join what is similar enough and in different components."""
+    size = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, column = np.unique(np.concatenate(sets), return_inverse=True)
+    edge = np.concatenate([[0], np.cumsum(size)])
+    label = np.unique(component, return_inverse=True)[1]
+    mark = np.zeros(int(column.max(initial=-1)) + 1, bool)
+    out = []
+    for i in np.flatnonzero(may.any(1)).tolist():
+        wanted = may[i] & (label != label[i])
+        if not wanted.any():
+            continue
+        mark[column[edge[i]:edge[i + 1]]] = True
+        if wanted.sum() < 8:
+            both = np.zeros(len(sets), int)
+            for j in np.flatnonzero(wanted).tolist():
+                both[j] = mark[column[edge[j]:edge[j + 1]]].sum()
+        else:
+            both = np.bincount(owner, mark[column], len(sets))
+        mark[column[edge[i]:edge[i + 1]]] = False
+        for j in np.flatnonzero(wanted & (100 * both >= SHARE * (size[i] + size - both))).tolist():
+            if label[i] != label[j]:
+                out.append((i, j))
+                label[label == label[j]] = label[i]
+    return out
+
+
+GROUP = ["token", "lo", "hi"]
+
+
+def dealt(placed: DataFrame, block: int | None = None) -> DataFrame:
+    """The members of lists that span components, by list and blocks (token, lo, hi) that meet, with their side.
+
+    placed: rep, place, token, mask, component, n_shingles, signature.  Of each list the members outside its
+    largest component are dealt into blocks that meet each other; blocks of that component meet only those.
     """
-    n = len(sets)
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(n), [len(s) for s in sets])
-    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = times > 1
-    number = np.cumsum(shared) - 1
-    keep = shared[column]
-    owner, column = owner[keep], number[column[keep]]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    both = np.zeros((n, n), np.float32)
-    for lo in range(0, int(shared.sum()), COLUMNS):
-        a, b = np.searchsorted(column, (lo, lo + COLUMNS))
-        holds = np.zeros((n, COLUMNS), np.float32)
-        holds[owner[a:b], column[a:b] - lo] = 1
-        both += holds @ holds.T
-    size = np.array([len(s) for s in sets], np.float32)
-    linked = 100 * both >= SHARE * (size[:, None] + size[None, :] - both)
-    linked &= (component[:, None] != component[None, :]) & ((side[:, None] != side[None, :]) | (side[:, None] == 0))
-    i, j = np.nonzero(np.triu(linked, 1))
-    label = np.arange(n)
-    while len(i):
-        before = label.copy()
-        low = np.minimum(label[i], label[j])
-        np.minimum.at(label, i, low)
-        np.minimum.at(label, j, low)
-        label = label[label]
-        if (label == before).all():
-            break
-    tell = np.flatnonzero(label != np.arange(n))
-    return tell, label[tell]
-
-
-def links_across(members: DataFrame, texts: DataFrame, block: int | None = None) -> DataFrame:
-    """a, b: links between components, from lists (token, rep, component, members) whose members may link."""
-    blocks = F.ceil(F.col("members") / (block or BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    dealt = members.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    block = block or BLOCK
+    held = placed.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
+    lists = held.groupBy("token").agg(
+        F.max(F.struct("n", "component", "s")).alias("most"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.count(F.lit(1)).alias("components"))
+    blocks = lambda n, s: F.greatest(F.lit(1), F.ceil(n / block), F.ceil(s / SHINGLES)).cast("int")
+    lists = lists.where("components > 1").select(
+        "token", F.col("most.component").alias("largest"), blocks(F.col("most.n"), F.col("most.s")).alias("inner"),
+        blocks(F.col("n") - F.col("most.n"), F.col("s") - F.col("most.s")).alias("outer"))
+    rows = placed.join(lists, "token").withColumn("in", F.col("component") == F.col("largest"))
+    own = F.pmod(F.xxhash64("rep"), F.when(F.col("in"), F.col("inner")).otherwise(F.col("outer"))).cast("int")
+    # outer blocks are 0 to outer - 1, inner ones follow
+    rows = rows.withColumn("own", F.when(F.col("in"), own + F.col("outer")).otherwise(own))
+    meets = F.when(F.col("in"), F.sequence(F.lit(0), F.col("outer") - 1)).otherwise(F.sequence(F.lit(0), F.col("outer") + F.col("inner") - 1))
+    rows = rows.withColumn("with", F.explode(meets))
     side = F.when(F.col("own") == F.col("with"), 0).when(F.col("own") < F.col("with"), 1).otherwise(2)
-    dealt = dealt.select("token", "rep", "component", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), side.alias("side"))
+    return rows.select(
+        "token", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), side.alias("side"), F.col("place").cast("int").alias("place"),
+        "mask", "rep", "component", "signature")
+
+
+MEMBER = "token long, lo int, hi int, side int, place int, mask long, rep long, component long, signature array<long>"
+
+
+def _arrays(held: dict[str, list]) -> tuple[np.ndarray, np.ndarray, int, np.ndarray, np.ndarray]:
+    """The arguments of ``candidates``."""
+    return np.array(held["signature"], np.int64), np.array(held["mask"], np.int64), held["place"][0], np.array(held["component"]), np.array(held["side"])
+
+
+def colliding(members: DataFrame) -> DataFrame:
+    """The members that have a candidate, from rows as ``dealt`` makes them."""
+    types = arrow_schema(MEMBER)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for held in sorted_groups(batches, GROUP, tuple(types.names)):
+            if len(held["rep"]) > 1:
+                may = candidates(*_arrays(held))
+                found = np.flatnonzero(may.any(0) | may.any(1)).tolist()
+                if found:
+                    yield pa.RecordBatch.from_pydict({k: [v[i] for i in found] for k, v in held.items()}, schema=types)
+
+    return members.repartition(*GROUP).sortWithinPartitions(*GROUP).select(*types.names).mapInArrow(run, MEMBER)
+
+
+def links_across(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b: links between components, from what ``colliding`` gives; texts: rep, text."""
 
     def sets_of(batch):
         return {"rep": batch.column("rep"), "set": [shingles(t).tobytes() for t in batch.column("text").to_pylist()]}
 
     needed = texts.join(members.select("rep").distinct(), "rep", "left_semi")
-    sets = cut(map_arrow(needed, sets_of, "rep long, set binary"))
-    group = ["token", "lo", "hi"]
-    rows = dealt.join(sets, "rep").repartition(*group).sortWithinPartitions(*group)
+    rows = members.join(map_arrow(needed, sets_of, "rep long, set binary"), "rep").repartition(*GROUP).sortWithinPartitions(*GROUP)
     types = arrow_schema("a long, b long")
+    names = (*arrow_schema(MEMBER).names, "set")
 
     def run(batches):
         import pyarrow as pa
 
-        for held in sorted_groups(batches, group, ("rep", "component", "side", "set")):
-            if len(held["rep"]) > 1:
-                sets = [np.frombuffer(x, np.uint64) for x in held["set"]]
-                i, j = spanning_links(sets, np.array(held["component"]), np.array(held["side"]))
-                if len(i):
-                    rep = np.array(held["rep"])
-                    yield pa.RecordBatch.from_pydict({"a": rep[i], "b": rep[j]}, schema=types)
+        for held in sorted_groups(in_slices(batches, 256), GROUP, names):
+            sets = [np.frombuffer(x, np.uint64) for x in held["set"]]
+            if links := spanning_links(sets, np.array(held["component"]), candidates(*_arrays(held))):
+                a, b = zip(*links, strict=True)
+                yield pa.RecordBatch.from_pydict({"a": [held["rep"][i] for i in a], "b": [held["rep"][i] for i in b]}, schema=types)
 
-    return rows.select(*group, "rep", "component", "side", "set").mapInArrow(run, "a long, b long").distinct()
+    return rows.select(*names).mapInArrow(run, "a long, b long").distinct()
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable, itself included)."""
+def near_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, of_text, n_shingles, component (null where nothing can link) and component_id (smallest doc_id reachable, itself included) of every row."""
     rows = cut(sketches(docs))
     usable = rows.where("set_id IS NOT NULL AND doc_id IS NOT NULL")
-    classes = cut(usable.groupBy("set_id").agg(
-        F.min("doc_id").alias("rep"), F.first("signature").alias("signature")))
+    classes = usable.groupBy("set_id").agg(
+        F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "of_text")).alias("one"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+    classes = cut(classes.withColumn("rep", F.monotonically_increasing_id()))  # written, so that the numbers stay
     posts = cut(prefix_postings(classes))
 
     # one hub for each list; each class is compared with the hub it meets most often
     order = F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("hub"))
-    hubs = cut(posts.groupBy("token").agg(F.min(order).hub.alias("hub")))
+    hubs = posts.groupBy("token").agg(F.min(order).hub.alias("hub"))
     met = posts.join(hubs, "token").where("rep <> hub").groupBy("rep", "hub").agg(F.count(F.lit(1)).alias("n"))
     first = met.groupBy("rep").agg(F.max(F.struct("n", "hub")).hub.alias("b")).select(F.col("rep").alias("a"), "b")
-    used = posts.select("rep").distinct()
-    texts = cut(docs.select(F.col("doc_id").alias("rep"), "text").join(used, "rep").dropDuplicates(["rep"]))
+    used = classes.join(posts.select("rep").distinct(), "rep", "left_semi").select("rep", "one.*")
+    own = docs.select(F.col("doc_id").alias("_id"), text_hash(F.col("text")).alias("_of"), "text")
+    texts = own.join(used, (F.col("_id") == F.col("doc_id")) & (F.col("_of") == F.col("of_text"))).select("rep", "text")
+    texts = cut(texts.dropDuplicates(["rep"]))
     links = cut(confirmed(first, texts))
     joined = components(links)
 
     # lists whose members are in different components yet
-    placed = cut(posts.join(joined, posts.rep == joined.node, "left").select("rep", "token", F.coalesce("component", "rep").alias("component")))
-    mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members"))
-    mixed = cut(mixed.where("lo <> hi").select("token", "members"))
-    across = cut(links_across(placed.join(mixed, "token"), texts))
-    if not across.isEmpty():
-        joined = components(links.unionByName(across))
+    placed = posts.join(joined, posts.rep == joined.node, "left").select("rep", "place", "token", "mask", F.coalesce("component", "rep").alias("component"))
+    mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
+    placed = placed.join(mixed, "token").join(classes.select("rep", "n_shingles", "signature"), "rep")
+    members = cut(colliding(dealt(placed)))
+    if not members.isEmpty():
+        across = cut(links_across(members, texts))
+        if not across.isEmpty():
+            joined = components(links.unionByName(across))
+
+    named = joined.join(classes.select(F.col("rep").alias("node"), "low"), "node")
+    lowest = named.groupBy("component").agg(F.min("low").alias("lowest"))
+    of_class = named.select("node", "component").join(lowest, "component")
+    of_set = classes.join(of_class, classes.rep == of_class.node, "left").select(
+        "set_id", F.coalesce("component", "rep").alias("component"), F.coalesce("lowest", "low").alias("component_id"))
+    columns = ("doc_id", "of_text", "n_shingles", "component", "component_id")
+    linked = usable.join(cut(of_set), "set_id").select(*columns)
+    alone = rows.where("set_id IS NULL OR doc_id IS NULL").withColumns({"component": F.lit(None).cast("long"), "component_id": F.col("doc_id")})
+    return linked.unionByName(alone.select(*columns))
 
-    of_set = classes.join(joined, classes.rep == joined.node, "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))
-    of_set = cut(of_set)
-    out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_id")).alias("set_id"))
-    return out.join(of_set, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+def near_groups(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    return near_rows(docs).select("doc_id", "n_shingles", "component_id")
 
 
 def with_kept(groups: DataFrame) -> DataFrame:
@@ -236,9 +321,21 @@ def with_kept(groups: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """The documents but for those that are near copies of one with a smaller id."""
-    gone = with_kept(near_groups(docs)).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs.doc_id == gone._gone, "left_anti")
+    """The documents but for near copies: of each component the row with the smallest id stays, of several such rows one."""
+    rows = cut(near_rows(docs.select("doc_id", "text")).where("component IS NOT NULL").select("component", "doc_id", "of_text"))
+    kept = rows.groupBy("component").agg(F.min(F.struct("doc_id", "of_text")).alias("one"), F.count(F.lit(1)).alias("n"))
+    kept = cut(kept.where("n > 1").select("component", F.col("one.doc_id").alias("id"), F.col("one.of_text").alias("of")))
+    same = (F.col("doc_id") == F.col("id")) & (F.col("of_text") == F.col("of"))
+    copies = rows.join(kept, "component").groupBy("doc_id", "of_text").agg(F.min(same).alias("stays"), F.count(F.lit(1)).alias("n"))
+    copies = cut(copies.where("NOT stays OR n > 1").select(F.col("doc_id").alias("_id"), F.col("of_text").alias("_of"), "stays"))
+    inside = F.struct(*docs.columns).alias("_row")  # whatever names the documents have, they don't meet these
+    own = docs.select(inside, F.col("doc_id").alias("_d"), text_hash(F.col("text")).alias("_t"))
+    on = (F.col("_d") == F.col("_id")) & (F.col("_t") == F.col("_of"))
+    out = own.join(copies, on, "left_anti").select("_row.*")
+    again = copies.where("stays")
+    if again.isEmpty():
+        return out
+    return out.unionByName(own.join(again, on).dropDuplicates(["_d", "_t"]).select("_row.*"))
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

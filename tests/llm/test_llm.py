@@ -237,12 +237,14 @@ def test_entropy_is_incremental():
 # 5
 
 
+def shingle_set(text):
+    w = WORDS.findall((text or "").translate(str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})))
+    return frozenset(tuple(w[i:i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+
 def brute_groups(rows):
-    low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
-    sets, parent = [], list(range(len(rows)))
-    for _, t in rows:
-        w = WORDS.findall((t or "").translate(low))
-        sets.append(frozenset(tuple(w[i:i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else []))
+    """Of each row its id, the size of its set and the smallest id reachable."""
+    sets, parent = [shingle_set(t) for _, t in rows], list(range(len(rows)))
 
     def find(x):
         while parent[x] != x:
@@ -252,13 +254,16 @@ def brute_groups(rows):
     for i, a in enumerate(sets):
         for j in range(i):
             both = len(a & sets[j])
-            if a and sets[j] and 100 * both >= 75 * (len(a) + len(sets[j]) - both):
-                x, y = find(i), find(j)
-                parent[max(x, y)] = min(x, y)
-    return {rows[i][0]: (len(sets[i]), rows[find(i)][0]) for i in range(len(rows))}
+            if rows[i][0] is not None and rows[j][0] is not None and a and sets[j] and 100 * both >= 75 * (len(a) + len(sets[j]) - both):
+                parent[find(i)] = find(j)
+    low = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            low[find(i)] = min(d, low.get(find(i), d))
+    return [(d, len(sets[i]), low.get(find(i))) for i, (d, _) in enumerate(rows)]
 
 
-def test_minhash(spark, docs):
+def near_texts():
     rng = random.Random(8)
     texts = odd_texts()
     for k in range(150):  # chains and groups at every distance around the threshold
@@ -266,20 +271,63 @@ def test_minhash(spark, docs):
         for _ in range(rng.randint(0, 4)):
             w[rng.randrange(len(w))] = rng.choice("uvw")
         texts.append(" ".join(w).upper() if k % 2 else "  ".join(w))
-    table = documents(spark, texts)
-    want = brute_groups(list(enumerate(texts)))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_groups(table).collect()}
-    assert got == want
+    return texts
+
+
+@pytest.mark.parametrize("block", [1024, 3])
+def test_minhash(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    table = documents(spark, near_texts())
+    want = brute_groups(list(enumerate(near_texts())))
+    assert sorted(tuple(r) for r in minhash.near_groups(table).collect()) == sorted(want)
     kept = minhash.dedup(table)
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (_, c) in want.items() if i == c) and kept.columns == table.columns
-    assert minhash.near_groups(table.limit(0)).collect() == []
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, _, c in want if d == c) and kept.columns == table.columns
+    assert minhash.near_groups(table.limit(0)).collect() == [] and minhash.dedup(table.limit(0)).collect() == []
 
 
 def test_minhash_rows_that_repeat_and_null_ids(spark):
     t = "one two three four five six"
-    table = spark.createDataFrame([(3, t), (3, t), (1, t), (None, t), (None, t), (2, None)], "doc_id long, text string")
-    got = sorted(((r.doc_id, r.component_id, r.kept) for r in minhash.with_kept(minhash.near_groups(table)).collect()), key=repr)
-    assert got == sorted([(3, 1, False), (3, 1, False), (1, 1, True), (None, None, True), (None, None, True), (2, 2, True)], key=repr)
+    rows = [(3, t), (3, t), (1, t), (None, t), (None, t), (2, None)]
+    got = sorted((tuple(r) for r in minhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert got == sorted(brute_groups(rows), key=repr)
+    kept = minhash.dedup(spark.createDataFrame([*rows, (1, t), (1, t.upper())], "doc_id long, text string"))
+    assert sorted(((r.doc_id, (r.text or "").lower()) for r in kept.collect()), key=repr) == sorted([(1, t), (None, t), (None, t), (2, "")], key=repr)
+
+
+def test_minhash_ids_that_repeat_with_other_texts(spark):
+    """Whatever the order of the rows, a row links by its own text."""
+    rng = random.Random(31)
+    texts = [t for t in near_texts() if t and len(t) < 20_000]
+    rows = [(rng.randrange(30), t) for t in texts]
+    want = sorted(brute_groups(rows))
+    for _ in range(2):
+        rng.shuffle(rows)
+        assert sorted(tuple(r) for r in minhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == want
+    kept = [(r.doc_id, r.text) for r in minhash.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    sets, parent = [shingle_set(t) for _, t in rows], {}
+    for i, a in enumerate(sets):  # one row of each component
+        same = [j for j in range(i) if 100 * len(a & sets[j]) >= 75 * len(a | sets[j])]
+        groups = {parent[j] for j in same}
+        name = min(groups, default=i)
+        parent = {j: name if g in groups else g for j, g in parent.items()} | {i: name}
+    assert len(kept) == len(set(parent.values())) and set(kept) <= set(rows)
+
+
+def test_collisions_of_a_list():
+    rng = np.random.default_rng(17)
+    for n in (5, 40, 90):
+        base = rng.integers(0, 9, (n, minhash.COORDINATES))
+        signatures = np.where(rng.random(base.shape) < 0.7, base[0], base)
+        masks, component, side = rng.integers(0, 2**48, n) | 8, rng.integers(0, 4, n), rng.integers(0, 3, n)
+        signatures[:, 3] = 1
+        want = np.zeros((n, n), bool)
+        for i in range(n):
+            for j in range(i + 1, n):
+                equal = signatures[i] == signatures[j]
+                first = next(c for c in range(48) if equal[c] and masks[i] >> c & 1 and masks[j] >> c & 1)
+                sides = side[i] != side[j] or side[i] == 0
+                want[i, j] = equal.sum() >= minhash.MATCHES and first == 3 and sides and component[i] != component[j]
+        assert (minhash.candidates(signatures, masks, 3, component, side) == want).all() and want.any()
 
 
 def test_components(spark):
@@ -383,7 +431,8 @@ def test_langid(spark):
     assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (1000, 1001, 1002))
     assert all(0 <= r.score <= 1 for r in got.values())
     assert {r.lang_pred for r in langid.predict(table, [], prototypes[:0]).collect()} == {"und"}
-    assert sorted(r.doc_id or 0 for r in langid.keep_known(table).collect()) == sorted(r[0] or 0 for r in rows if r[0] not in (1000, 1001, 1002))
+    known = {(r.doc_id, r.lang, r.score) for r in langid.identified(table).collect()}
+    assert known == {(i, lang or got[i].lang_pred, 1.0) for i, _, lang in rows if i not in (1000, 1001, 1002)}
     assert langid.predict(table.limit(0), langs, prototypes).collect() == []
 
 
@@ -394,7 +443,31 @@ def test_known_documents_of_negative_cosine_stay(spark):
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = {r.doc_id: r for r in langid.predict(table, *langid.fit(table.where(langid.fold_of(F.col("doc_id")) != 0))).collect()}
     assert sum(r.score == 0 and r.lang_pred == "aa" for r in got.values()) > 5
-    assert {r.doc_id for r in langid.keep_known(table).collect()} == {i for i, r in got.items() if r.lang_pred != "und"} == set(got) - {200}
+    assert {r.doc_id for r in langid.identified(table).collect()} == {i for i, r in got.items() if r.lang_pred != "und"} == set(got) - {200}
+    assert {r.lang for r in langid.identified(table).collect()} == {"aa"}
+
+
+def test_documents_whose_text_contradicts_their_language_go(spark):
+    rng = random.Random(15)
+    text = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(30))
+    rows = [(i, text("abcde" if i % 2 else "vwxyz"), "aa" if i % 2 else "zz") for i in range(200)]
+    rows += [(500, text("abcde"), "zz"), (501, text("vwxyz"), "other"), (502, text("vwxyz"), None), (502, text("vwxyz"), None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = sorted((r.doc_id, r.lang) for r in langid.identified(table).collect())
+    assert got == sorted([(i, lang) for i, _, lang in rows[:200]] + [(501, "other"), (502, "zz"), (502, "zz")])
+    assert len(langid.identified(table, margin=2.0).collect()) == len(rows)
+    assert langid.identified(table.limit(0)).collect() == []
+
+
+def test_samples_of_any_share_choose_rows(spark):
+    from tessera.llm._common import sampled
+
+    rows = spark.range(1_000_000).withColumnRenamed("id", "doc_id")
+    n = rows.where(sampled(1e-5, "x")).count()
+    assert 1 <= n <= 40 and rows.where(sampled(1.0, "x")).count() == 1_000_000
+    # the smallest hash there is tells that a share of 1e-8 is not rounded to none
+    low = rows.agg(F.min(F.xxhash64("doc_id", F.lit("x")) / F.lit(2.0**64) + 0.5)).first()[0]
+    assert 0 < low < 1e-5 and rows.where(sampled(low * 1.01, "x")).count() >= 1
 
 
 def test_grams_of_a_text():
