@@ -3,6 +3,11 @@
 Every stage but the last returns the columns of ``documents``; each works on all that the
 one before it kept.  ``run`` writes what a stage returns to the checkpoint folder before the
 next one reads it.
+
+Defined results: a null or empty text has no letter and goes at the first stage; rows with a null
+id are never near copies and stay; rows that repeat another (id and text) go at the second stage, but for one;
+ties in the mix fall as ``mixing`` says; a null language is filled in, a null source is a source of its own; other
+columns are carried along; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -14,8 +19,8 @@ from tessera.llm._common import cut, read
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, and so without a language, go."""
-    return langid.keep_known(docs)
+    """Documents without a letter, or whose declared language their text contradicts, go; a null language is filled in."""
+    return langid.identified(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
