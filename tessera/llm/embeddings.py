@@ -1,27 +1,31 @@
 """Embedding near-dedup with randomised-rotation binary codes.
 
-A vector of length 1 is rotated at random and kept as the signs of its components, with the
-correction factor <code, vector> that makes <code, other> / factor an unbiased estimate of
-<vector, other>.  How far an estimate may be off follows from the factor and the dimension;
-only pairs whose confidence bound reaches the threshold are recomputed, in double precision
-from the vectors as given.
-
-Pairs are met in buckets: the signs of further rotations, dealt into ``tables`` of ``bits``
-signs each.  A pair at the threshold agrees in one sign with 1 - acos(0.9) / pi, so that
-bits and tables follow from the number of vectors and ``MISS``, the share of such pairs that
-may be missed; the work grows as n to the power 1.2.  A pair counts in the first table in
-which it meets, so that nothing has to be made distinct.  A bucket of more than ``BLOCK``
+A vector of length 1 is rotated at random a few times; the signs of the components are its code, and with
+each rotation goes a correction factor f = <code, vector>.  ``code / f``, turned back, is an unbiased estimate
+of the vector, so that products of the estimates of two vectors from different rotations, which are
+independent, estimate their inner product without bias.  How far such an estimate may be off follows from the
+factors, the dimension and the number of rotations; only pairs whose confidence bound reaches the threshold are
+recomputed, in double precision from the vectors as given.
+
+Pairs are met in buckets: each of the ``tables`` picks ``bits`` signs of the code.  Bits and tables follow from
+the number of vectors, so that buckets hold about ``IN_BUCKET`` and at most the share ``MISS`` of the pairs at the threshold
+meets in no table.  What the shuffle carries for each table is the code and its factors; only vectors
+that have a pair within the bound bring their components, once for each bucket where that is so.  A pair counts in the first
+table in which it meets, so that nothing has to be made distinct.  A bucket of more than ``BLOCK``
 vectors is dealt into blocks and met block against block: no cap, and no task holds more.
 
 Defined results: a vector that is null, empty or zero, or holds a null or a component that
 is not finite, links with nothing and is kept; equal vectors link with each other; vectors of
-different dimensions do not link; a row with a null id links with nothing; an empty table
-gives no rows; other columns, labels included, are not read.
+different dimensions do not link; a row with a null id links with nothing; rows that repeat an id are vectors of
+their own; an empty table gives no rows; other columns, labels included, are not read.  Equal vectors are told by
+128 bits of hashes.
 """
 
 from __future__ import annotations
 
+import functools
 import math
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -32,163 +36,219 @@ from .components import components
 
 LEAST = 0.9
 MISS = 0.01
-BLOCK, TOGETHER = 1024, 256
+BLOCK, IN_BUCKET, TOGETHER = 1024, 256, 256
+#: Signs of a code, at least, and rotations, at least.
+SIGNS, ROTATIONS = 256, 3
 #: Standard deviations of an estimate within which a pair is recomputed.
 CONFIDENCE = 4.0
 SEED = 90210
 
 
-def plan(n: int) -> tuple[int, int]:
-    """Signs in a table, and tables, for n vectors."""
-    bits = min(30, max(8, round(math.log2(max(n, 1) / 8))))
-    meet = (1 - math.acos(LEAST) / math.pi) ** bits
-    return bits, math.ceil(math.log(MISS) / math.log(1 - meet))
+def rotations_for(dimension: int) -> int:
+    return max(ROTATIONS, -(-SIGNS // dimension))
 
 
+def plan(n: int) -> tuple[int, int]:
+    """Signs in a table, and tables, for n vectors.
+
+    Two vectors at the threshold agree in each of ``SIGNS`` signs with 1 - acos(0.9) / pi; if in the share a of them,
+    they meet in a table with a ** bits.
+    """
+    bits = min(40, max(4, round(math.log2(max(n, 1) / IN_BUCKET))))
+    p = 1 - math.acos(LEAST) / math.pi
+    agree = np.array([math.comb(SIGNS, k) * p**k * (1 - p) ** (SIGNS - k) for k in range(SIGNS + 1)])
+    meet = (np.arange(SIGNS + 1) / SIGNS) ** bits
+    tables = 1
+    while (agree * (1 - meet) ** tables).sum() > MISS:
+        tables = tables + 1 + tables // 16
+    return bits, tables
+
+
+@functools.cache
 def rotation(dimension: int, k: int) -> np.ndarray:
     """The k-th random rotation."""
     q, r = np.linalg.qr(np.random.default_rng((SEED, dimension, k)).standard_normal((dimension, dimension)))
     return q * np.sign(np.diag(r))
 
 
-_ROTATIONS: dict[tuple[int, int], np.ndarray] = {}
-
-
-def signs_for(dimension: int, n_bits: int) -> np.ndarray:
-    """Columns whose products with a vector give the signs of the tables."""
-    key = (dimension, n_bits)
-    if key not in _ROTATIONS:
-        _ROTATIONS[key] = np.concatenate([rotation(dimension, k) for k in range(1, n_bits // dimension + 2)], axis=1)[:, :n_bits]
-    return _ROTATIONS[key]
-
-
-def table_keys(x: np.ndarray, bits: int, tables: int) -> np.ndarray:
-    """The bucket of a vector in each table."""
-    on = (x @ signs_for(len(x), bits * tables) > 0).reshape(tables, bits)
-    return on @ (1 << np.arange(bits)).astype(np.int64)
-
-
-class Coded:
-    """Vectors of one dimension with their codes and correction factors."""
-
-    def __init__(self, x: np.ndarray):
-        self.x = x.astype(np.float64)
-        self.unit = self.x / np.linalg.norm(self.x, axis=1, keepdims=True)
-        d = x.shape[1]
-        self.rotated = (self.unit @ rotation(d, 0)).astype(np.float32)
-        self.code = np.where(self.rotated > 0, 1, -1).astype(np.float32) / np.float32(math.sqrt(d))
-        self.factor = np.abs(self.rotated).sum(1) / math.sqrt(d)
-        self.error = CONFIDENCE * np.sqrt(np.maximum(0, 1 - self.factor**2)) / self.factor / math.sqrt(max(1, d - 1))
-
-    def links(self, may: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs i < j of rows with a cosine of LEAST or more, among those that ``may`` marks."""
-        upper = (self.code @ self.rotated.T) / self.factor[:, None] + self.error[:, None]
-        i, j = np.nonzero(np.triu(may & ((upper >= LEAST) | (upper.T >= LEAST)), 1))
-        cosine = np.einsum("ij,ij->i", self.unit[i], self.unit[j])
-        keep = cosine >= LEAST
-        return i[keep], j[keep]
-
-
-def _met(rows: dict[str, np.ndarray]) -> dict[str, list]:
-    """Counts and spanning links of some whole groups of rows of one dimension."""
-    may = rows["group"][:, None] == rows["group"][None, :]
-    side = rows["side"]  # in a group of two blocks, only rows of different blocks meet
-    may &= (side[:, None] != side[None, :]) | (side[:, None] == 0)
-    i, j = Coded(rows["x"]).links(may)
-    ids, label = rows["id"], np.arange(len(may))
-    earlier = (rows["keys"][i] == rows["keys"][j]) & (np.arange(rows["keys"].shape[1]) < rows["table"][i][:, None])
-    new = ~earlier.any(1)
-    n = np.bincount(i[new], rows["n"][j[new]], len(label)) + np.bincount(j[new], rows["n"][i[new]], len(label))
-    while len(i):
-        low = np.minimum(label[i], label[j])
-        before = label.copy()
-        np.minimum.at(label, i, low)
-        np.minimum.at(label, j, low)
-        label = label[label]
-        if (label == before).all():
-            break
-    tell = np.flatnonzero((n > 0) | (label != np.arange(len(label))))
-    return {"id": ids[tell].tolist(), "n": n[tell].astype(np.int64).tolist(), "other": ids[label[tell]].tolist()}
-
-
-def meetings(posts: DataFrame) -> DataFrame:
-    """id, n, other: links counted at id, and a link to other unless it is id, from rows sorted by group."""
-
-    schema = "id long, n long, other long"
-    types = arrow_schema(schema)
+@functools.cache
+def picked(n_signs: int, bits: int, tables: int) -> np.ndarray:
+    """The signs of each table."""
+    rng = np.random.default_rng((SEED, n_signs, bits, tables))
+    return np.array([rng.choice(n_signs, bits, replace=False) for _ in range(tables)])
+
+
+def table_keys(on: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """The bucket in each table of codes given as rows of booleans."""
+    out = np.zeros((len(on), tables), np.int64)
+    for k, column in enumerate(picked(on.shape[1], bits, tables).T):
+        out |= on[:, column].astype(np.int64) << k
+    return out
+
+
+def coded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes (rows of booleans, rotation by rotation) and factors of vectors of one dimension."""
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    turned = [unit @ rotation(x.shape[1], k) for k in range(rotations_for(x.shape[1]))]
+    factors = np.stack([np.abs(t).sum(1) / math.sqrt(x.shape[1]) for t in turned], 1).astype(np.float32)
+    return np.concatenate([t > 0 for t in turned], 1), factors
+
+
+def estimated(on: np.ndarray, factors: np.ndarray, dimension: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unbiased estimates of all inner products, and how far each may be off within the confidence."""
+    r = factors.shape[1]
+    codes = np.where(on, 1, -1).astype(np.float32).reshape(len(on), r, dimension) / (np.float32(math.sqrt(dimension)) * factors[:, :, None])
+    guess = sum(codes[:, k] @ rotation(dimension, k).T.astype(np.float32) for k in range(r))  # r times the vector, without bias
+    flat = codes.reshape(len(on), -1)
+    estimate = (guess @ guess.T - flat @ flat.T) / (r * (r - 1))  # products from one rotation are dependent and left out
+    spread = ((1 / factors.astype(np.float64) ** 2 - 1).mean(1) / max(1, dimension - 1)) / r  # variance of a guess in any direction
+    both = spread[:, None] + spread[None, :] + spread[:, None] * spread[None, :] * dimension
+    return estimate, CONFIDENCE * np.sqrt(both * r / (r - 1))
+
+
+def packed(on: np.ndarray, factors: np.ndarray, n: list[int]) -> list[bytes]:
+    """Dimension, class size, factors and code of each row as bytes."""
+    bits = np.packbits(on, axis=1)
+    dimension = np.full((len(on), 1), on.shape[1] // factors.shape[1], "<u4").view(np.uint8)
+    size = np.array(n, "<u4")[:, None].view(np.uint8)
+    return [x.tobytes() for x in np.concatenate([dimension, size, np.ascontiguousarray(factors, "<f4").view(np.uint8), bits], 1)]
+
+
+class Members:
+    """Rows that are met together: codes, factors, class sizes and keys of one dimension."""
+
+    def __init__(self, codes: list[bytes], shape: tuple[int, int]):
+        raw = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
+        self.dimension = int(raw[0, :4].copy().view("<u4")[0])
+        self.n = np.ascontiguousarray(raw[:, 4:8]).view("<u4")[:, 0].astype(np.int64)
+        r = rotations_for(self.dimension)
+        self.factors = np.ascontiguousarray(raw[:, 8:8 + 4 * r]).view("<f4")
+        self.on = np.unpackbits(raw[:, 8 + 4 * r:], axis=1, count=r * self.dimension).astype(bool)
+        self.keys = table_keys(self.on, *shape)
+
+    def pairs(self, may: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs i < j, among those that ``may`` marks, within the bound and not met in an earlier table; table: of each row."""
+        estimate, error = estimated(self.on, self.factors, self.dimension)
+        i, j = np.nonzero(np.triu(may & (estimate + error >= LEAST), 1))
+        earlier = (self.keys[i] == self.keys[j]) & (np.arange(self.keys.shape[1]) < table[i][:, None])
+        new = ~earlier.any(1)
+        return i[new], j[new]
+
+
+GROUP = ["bucket", "lo", "hi"]
+
+
+def chunks(batches, columns: tuple[str, ...]) -> Iterator[tuple[dict[str, list], np.ndarray]]:
+    """Rows of whole groups, up to about ``TOGETHER`` of them or one larger group, and the number of each row's group."""
+    held: dict[str, list] = {c: [] for c in columns}
+
+    def groups(last: bool):
+        mark = list(zip(*(held[c] for c in GROUP), strict=True))
+        edges = [k for k in range(len(mark)) if not k or mark[k] != mark[k - 1]]
+        if last:
+            edges.append(len(mark))
+        at = 0
+        for k in range(1, len(edges)):
+            # groups whose codes are equally long, so of one dimension, are met together
+            if k + 1 == len(edges) or edges[k + 1] - at > TOGETHER or len(held["code"][edges[k]]) != len(held["code"][at]):
+                end = edges[k]
+                starts = np.array([e - at for e in edges if at <= e < end])
+                if end - at > len(starts):
+                    yield {c: held[c][at:end] for c in columns}, np.searchsorted(starts, np.arange(end - at), "right")
+                at = end
+        for c in columns:
+            held[c] = held[c][at:]
+
+    for batch in batches:
+        for c in columns:
+            held[c] += batch.column(c).to_pylist()
+        yield from groups(False)
+    if held[columns[0]]:
+        yield from groups(True)
+
+
+def _met(rows: dict[str, list], group: np.ndarray, shape: tuple[int, int]) -> tuple[Members, np.ndarray, np.ndarray]:
+    """Members and pairs within the bound of rows of some groups; in a group of two blocks only rows of different blocks meet."""
+    members, side = Members(rows["code"], shape), np.array(rows["side"])
+    may = (group[:, None] == group[None, :]) & ((side[:, None] != side[None, :]) | (side[:, None] == 0))
+    return members, *members.pairs(may, np.array(rows["place"]))
+
+
+POST = "bucket long, lo int, hi int, side int, place int, rep long, code binary"
+
+
+def within_bound(posts: DataFrame, shape: tuple[int, int]) -> DataFrame:
+    """The posts that have a pair within the bound, each in its bucket."""
+    types = arrow_schema(POST)
 
     def run(batches):
         import pyarrow as pa
 
-        columns = ("id", "n", "table", "key", "lo", "hi", "side", "dim", "x", "keys")
-        left: dict[str, list] = {k: [] for k in columns}
-
-        def groups_of(rows: dict[str, list], last: bool):
-            mark = list(zip(rows["dim"], rows["table"], rows["key"], rows["lo"], rows["hi"], strict=True))
-            edges = [k for k in range(len(mark)) if not k or mark[k] != mark[k - 1]]
-            if not last and edges:
-                edges.append(len(mark))
-                whole = edges[-2]
-            else:
-                edges.append(len(mark))
-                whole = len(mark)
-            at = 0
-            for k in range(1, len(edges)):
-                end = edges[k]
-                if end > whole:
+        for rows, group in chunks(batches, tuple(types.names)):
+            _, i, j = _met(rows, group, shape)
+            if found := np.unique(np.concatenate([i, j])).tolist():
+                yield pa.RecordBatch.from_pydict({c: [v[k] for k in found] for c, v in rows.items()}, schema=types)
+
+    return posts.repartition(*GROUP).sortWithinPartitions(*GROUP).select(*types.names).mapInArrow(run, POST)
+
+
+def meetings(posts: DataFrame, classes: DataFrame, shape: tuple[int, int]) -> DataFrame:
+    """rep, n, other: links counted at rep, and a link to other unless it is rep; classes: rep, embedding."""
+    types = arrow_schema(schema := "rep long, n long, other long")
+    columns = (*arrow_schema(POST).names, "embedding")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for rows, group in chunks(batches, columns):
+            members, i, j = _met(rows, group, shape)
+            x = np.array(rows["embedding"], np.float64)
+            x /= np.abs(x).max(1, keepdims=True)  # no overflow in what follows; the angle stays
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            keep = np.concatenate([np.einsum("ij,ij->i", x[i[a:a + 8192]], x[j[a:a + 8192]]) >= LEAST for a in range(0, len(i), 8192)] or [np.empty(0, bool)])
+            i, j = i[keep], j[keep]
+            rep, label = np.array(rows["rep"]), np.arange(len(x))
+            n = np.bincount(i, members.n[j], len(x)) + np.bincount(j, members.n[i], len(x))
+            while len(i):
+                low, before = np.minimum(label[i], label[j]), label.copy()
+                np.minimum.at(label, i, low)
+                np.minimum.at(label, j, low)
+                label = label[label]
+                if (label == before).all():
                     break
-                # groups of one dimension are met together, up to TOGETHER rows
-                if end == whole or edges[k + 1] - at > TOGETHER or rows["dim"][end] != rows["dim"][at]:
-                    part = {c: rows[c][at:end] for c in columns}
-                    starts = np.array([e - at for e in edges if at <= e < end])
-                    if end - at > len(starts):
-                        yield _met({
-                            "id": np.array(part["id"]), "n": np.array(part["n"]), "table": np.array(part["table"]), "side": np.array(part["side"]),
-                            "group": np.searchsorted(starts, np.arange(end - at), "right"),
-                            "x": np.frombuffer(b"".join(part["x"]), "<f8").reshape(end - at, -1),
-                            "keys": np.frombuffer(b"".join(part["keys"]), "<i8").reshape(end - at, -1),
-                        })
-                    at = end
-            for c in columns:
-                rows[c] = rows[c][whole:]
-
-        for batch in batches:
-            for c in columns:
-                left[c] += batch.column(c).to_pylist()
-            for found in groups_of(left, False):
-                yield pa.RecordBatch.from_pydict(found, schema=types)
-        for found in groups_of(left, True):
-            yield pa.RecordBatch.from_pydict(found, schema=types)
-
-    return posts.select("id", "n", "table", "key", "lo", "hi", "side", "dim", "x", "keys").mapInArrow(run, schema)
-
-
-def posted(classes: DataFrame, n: int, block: int = BLOCK) -> DataFrame:
+            tell = np.flatnonzero(n > 0)
+            yield pa.RecordBatch.from_pydict({"rep": rep[tell], "n": n[tell].astype(np.int64), "other": rep[label[tell]]}, schema=types)
+
+    rows = posts.join(classes, "rep").repartition(*GROUP).sortWithinPartitions(*GROUP)
+    return rows.select(*columns).mapInArrow(run, schema)
+
+
+def posted(classes: DataFrame, shape: tuple[int, int], block: int | None = None) -> DataFrame:
     """A row of each class for each table, and for each pair of blocks in a large bucket."""
-    bits, tables = plan(n)
+    block = block or BLOCK
+    bits, tables = shape
 
     def run(batch):
-        keys, raw = [], []
-        for v in batch.column("embedding").to_pylist():
-            x = np.array(v, np.float64)
-            x = x / np.abs(x).max()  # no overflow in what follows; the angle stays
-            keys.append(table_keys(x / np.linalg.norm(x), bits, tables))
-            raw.append(x.astype("<f8").tobytes())
-        return {
-            "id": batch.column("id"), "n": batch.column("n"), "dim": [len(x) // 8 for x in raw], "x": raw,
-            "keys": [k.astype("<i8").tobytes() for k in keys], "key_of": [k.tolist() for k in keys],
-        }
-
-    coded = cut(map_arrow(classes, run, "id long, n long, dim int, x binary, keys binary, key_of array<long>"))
-    large = coded.select("dim", F.posexplode("key_of").alias("table", "key")).groupBy("dim", "table", "key").agg(
-        F.count(F.lit(1)).alias("size")).where(F.col("size") > block)
-    large = cut(large)
-    posts = coded.select("id", "n", "dim", "x", "keys", F.posexplode("key_of").alias("table", "key"))
+        by_dimension: dict[int, list[int]] = {}
+        vectors = batch.column("embedding").to_pylist()
+        for k, v in enumerate(vectors):
+            by_dimension.setdefault(len(v), []).append(k)
+        for d, places in by_dimension.items():
+            x = np.array([vectors[k] for k in places], np.float64)
+            on, factors = coded(x / np.abs(x).max(1, keepdims=True))
+            n = [batch.column("n")[k].as_py() for k in places]
+            # a bucket's number holds the dimension, the table and the key
+            bucket = ((np.int64(d) * np.int64(tables) + np.arange(tables)) << np.int64(bits)) + table_keys(on, bits, tables)
+            yield {"rep": [batch.column("rep")[k].as_py() for k in places], "code": packed(on, factors, n), "buckets": bucket.tolist()}
+
+    rows = cut(map_arrow(classes, run, "rep long, code binary, buckets array<long>"))
+    posts = rows.select("rep", "code", F.posexplode("buckets").alias("place", "bucket"))
+    large = cut(posts.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > block))
     if large.isEmpty():
         return posts.withColumns({"lo": F.lit(0), "hi": F.lit(0), "side": F.lit(0)})
     blocks = F.ceil(F.col("size") / block).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    posts = posts.join(large.withColumn("blocks", blocks), ["dim", "table", "key"], "left")
+    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+    posts = posts.join(large.withColumn("blocks", blocks), "bucket", "left")
     posts = posts.withColumn("own", F.when(F.col("blocks").isNotNull(), own).otherwise(0))
     posts = posts.withColumn("with", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
     side = F.when(F.col("own") == F.col("with"), 0).when(F.col("own") < F.col("with"), 1).otherwise(2)
@@ -201,18 +261,23 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
         F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0),
         F.lit(False),
     ) & F.col("vec_id").isNotNull()
-    rows = vectors.select("vec_id", F.when(good, F.col("embedding")).alias("embedding"))
-    classes = cut(rows.where("embedding IS NOT NULL").groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n")))
-    posts = posted(classes.select("id", "n", "embedding"), classes.count())
-    group = ["dim", "table", "key", "lo", "hi"]
-    found = cut(meetings(posts.repartition(*group).sortWithinPartitions(*group)))
-    counts = found.where("n > 0").groupBy("id").agg(F.sum("n").alias("links"))
-    joined = components(found.select(F.col("id").alias("a"), F.col("other").alias("b")))
-    of_class = classes.select("embedding", "id", "n").join(counts, "id", "left").join(joined, F.col("id") == joined.node, "left")
+    key = F.struct(F.xxhash64("embedding").alias("a"), F.xxhash64(F.lit("embedding"), "embedding").alias("b"))
+    rows = vectors.select("vec_id", "embedding", good.alias("good"))
+    usable = rows.where("good").select("vec_id", key.alias("key"), "embedding")
+    classes = usable.groupBy("key").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("n"), F.first("embedding").alias("embedding"))
+    classes = cut(classes.withColumn("rep", F.monotonically_increasing_id()))  # written, so that the numbers stay
+    shape = plan(classes.count())
+    close = cut(within_bound(posted(classes.select("rep", "n", "embedding"), shape), shape))
+    found = cut(meetings(close, classes.select("rep", "embedding"), shape))
+    counts = found.groupBy("rep").agg(F.sum("n").alias("links"))
+    joined = components(found.select(F.col("rep").alias("a"), F.col("other").alias("b")))
+    named = joined.join(classes.select(F.col("rep").alias("node"), "low"), "node")
+    named = named.select("node", "component").join(named.groupBy("component").agg(F.min("low").alias("lowest")), "component").select("node", "lowest")
+    of_class = classes.select("key", "rep", "low", "n").join(counts, "rep", "left").join(named, F.col("rep") == named.node, "left")
     of_class = cut(of_class.select(
-        "embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")))
-    out = rows.join(of_class, "embedding", "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+        "key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), F.coalesce("lowest", "low").alias("component_id")))
+    linked = usable.select("vec_id", "key").join(of_class, "key").select("vec_id", "n_links", "component_id")
+    return linked.unionByName(rows.where("NOT good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
 
 
 def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

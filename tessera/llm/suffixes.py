@@ -25,7 +25,7 @@ Semi-joins are reduced by bitmaps of a fixed size (``BITS``); a full one only st
 
 Defined results: a null text is empty; texts below 200 bytes lose nothing; a row that
 repeats another (id and text) is a copy like any other; rows with a null id are compared
-like the rest; an empty table gives no rows; other columns are not read.  Equal anchors,
+like the rest; an empty table gives no rows; other columns are not read.  Rows, equal anchors,
 stretches and hot windows are told by 128 bits of hashes, windows in classes of more than
 ``PAIRED`` by 64.
 """
@@ -45,7 +45,7 @@ SPAN, GRAM = 200, 64
 MOST, PAIRED, SUFFIXES_IN_BUCKET, SUFFIXES_IN_RUN = 8192, 64, 20_000, 20_000
 BITS = 1 << 25
 #: Windows of a text taken on at a time; below 2**24, for places share a word with hashes.
-WINDOWS_AT_ONCE = 1 << 20
+WINDOWS_AT_ONCE = 1 << 18
 _RNG = np.random.default_rng(5150)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE, _LOW = 0x9E3779B97F4A7C15, np.uint64(0xFFFFFF)
@@ -53,10 +53,12 @@ _POWERS = [np.empty(0, np.uint64), np.empty(0, np.uint64)]
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2**64."""
+    """Powers of the base and of its inverse, modulo 2**64; those for a part of a text are kept."""
     if len(_POWERS[0]) < n:
-        for k, b in enumerate((_BASE, pow(_BASE, -1, 2**64))):
-            _POWERS[k] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(2 * n, b, np.uint64)]))
+        made = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, b, np.uint64)])) for b in (_BASE, pow(_BASE, -1, 2**64))]
+        if n > 2 * WINDOWS_AT_ONCE:
+            return made[0][:n], made[1][:n]
+        _POWERS[:] = made
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
@@ -81,20 +83,19 @@ class Hashed:
 
 
 def stretches(raw: bytes) -> Iterator[dict[str, np.ndarray]]:
-    """anchor (place), start (of the first window), n (windows) and gram (hash at the anchor) of each stretch.
+    """anchor (place), start (of the first window), n (windows), gram (hash at the anchor) and whole (hash of all its bytes) of each stretch.
 
-    A stretch that a cut between parts of a long text divides comes out in one piece.
+    A long text is taken on in parts, which overlap by the longest stretch; each gives the stretches that start in it.
     """
     total = len(raw) - SPAN + 1
-    kept: dict[str, np.ndarray] | None = None
+    width = SPAN - GRAM + 1  # windows that can share an anchor
     for at in range(0, total, WINDOWS_AT_ONCE):
-        n = min(WINDOWS_AT_ONCE, total - at)
-        part = np.frombuffer(raw, np.uint8)[at:at + n + SPAN - 1]
-        hashed = Hashed(part)
-        places = np.arange(len(part) - GRAM + 1)
+        end = min(total, at + WINDOWS_AT_ONCE)
+        lo, hi = max(0, at - 1), min(total, end + width)
+        hashed = Hashed(np.frombuffer(raw, np.uint8)[lo:hi + SPAN - 1])
+        places = np.arange(hi - lo + width - 1)
         grams = _mixed((hashed.sums[GRAM:] - hashed.sums[:-GRAM]) * hashed.down[:len(places)])
         low = (grams & ~_LOW) | places.astype(np.uint64)
-        width = SPAN - GRAM + 1
         size = 1
         while 2 * size <= width:
             low = np.minimum(low[:-size], low[size:])
@@ -103,16 +104,13 @@ def stretches(raw: bytes) -> Iterator[dict[str, np.ndarray]]:
             low = np.minimum(low[:-(width - size)], low[width - size:])
         anchor = (low & _LOW).astype(np.int64)
         first = np.flatnonzero(np.diff(anchor, prepend=-1))
-        made = {"anchor": anchor[first] + at, "start": first + at, "n": np.diff(first, append=n), "gram": grams[anchor[first]].view(np.int64)}
-        if kept is not None:
-            if kept["anchor"][-1] == made["anchor"][0]:
-                kept["n"][-1] += made["n"][0]
-                made = {k: v[1:] for k, v in made.items()}
-            made = {k: np.concatenate([kept[k][-1:], v]) for k, v in made.items()}
-            yield {k: v[:-1] for k, v in kept.items()}
-        kept = made
-    if kept is not None:
-        yield kept
+        n = np.diff(first, append=hi - lo)
+        keep = (first + lo >= at) & (first + lo < end)
+        first, n = first[keep], n[keep]
+        yield {
+            "anchor": anchor[first] + lo, "start": first + lo, "n": n, "gram": grams[anchor[first]].view(np.int64),
+            "whole": hashed.of(first, first + n + SPAN - 1).view(np.int64),
+        }
 
 
 def _bytes_of(text: str | None) -> bytes:
@@ -120,8 +118,9 @@ def _bytes_of(text: str | None) -> bytes:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """The documents with a key (k, h) that equal rows share."""
-    return docs.select("doc_id", "text", F.coalesce(F.col("doc_id"), F.lit(-1)).cast("long").alias("k"), F.hash("text").alias("h"))
+    """The documents with a key (k, h) of 128 bits that equal rows share."""
+    row = [F.col("doc_id").isNull(), "doc_id", "text"]
+    return docs.select("doc_id", "text", F.xxhash64(*row).alias("k"), F.xxhash64(F.lit("row"), *row).alias("h"))
 
 
 def bitmap(keys: DataFrame, bits: int = BITS) -> np.ndarray:
@@ -187,19 +186,16 @@ def map_batched(df: DataFrame, function, schema: str, rows: int = 100_000) -> Da
     return df.mapInArrow(run, schema)
 
 
-def repeated_stretches(docs: DataFrame, grams: DataFrame) -> DataFrame:
-    """gram, whole (hash of the stretch), k, h, anchor, start, n of the stretches with a repeated anchor string."""
-    may = docs.sparkSession.sparkContext.broadcast(bitmap(grams.select(F.col("gram").alias("key"))))
+def repeated_stretches(docs: DataFrame, grams: DataFrame, may) -> DataFrame:
+    """gram, whole (hash of the stretch), k, h, anchor, start, n of the stretches with a repeated anchor string; may: their bitmap, broadcast."""
 
     def run(batch):
         for text, k, h in zip(batch.column("text").to_pylist(), batch.column("k").to_pylist(), batch.column("h").to_pylist(), strict=True):
-            raw = _bytes_of(text)
-            hashed = Hashed(np.frombuffer(raw, np.uint8))
-            for s in stretches(raw):
+            for s in stretches(_bytes_of(text)):
                 m = len(s["gram"])
-                yield s | {"whole": hashed.of(s["start"], s["start"] + s["n"] + SPAN - 1).view(np.int64), "k": np.full(m, k), "h": np.full(m, h)}
+                yield s | {"k": np.full(m, k), "h": np.full(m, h)}
 
-    schema = "gram long, whole long, k long, h int, anchor long, start long, n long"
+    schema = "gram long, whole long, k long, h long, anchor long, start long, n long"
     found = map_batched(docs.where(F.octet_length("text") >= SPAN).select("text", "k", "h"), run, schema)
     return found.where(in_bitmap(F.col("gram"), may)).join(grams, "gram")
 
@@ -321,7 +317,7 @@ def merged_repeats(reps: DataFrame, n_reps: int) -> DataFrame:
     """k, h, start, end of the bytes that repeat, from sparse suffixes (columns as ``sliced`` makes them)."""
     buckets = max(1, -(-n_reps // SUFFIXES_IN_BUCKET))
     run_types = arrow_schema(schema := (
-        "bucket long, shared array<int>, rests array<binary>, lefts array<binary>, k array<long>, h array<int>, anchor array<long>"))
+        "bucket long, shared array<int>, rests array<binary>, lefts array<binary>, k array<long>, h array<long>, anchor array<long>"))
 
     def runs(batches):
         import pyarrow as pa
@@ -349,7 +345,7 @@ def merged_repeats(reps: DataFrame, n_reps: int) -> DataFrame:
                 yield from put()
         yield from put()
 
-    end_types = arrow_schema(end_schema := "k long, h int, start long, end long")
+    end_types = arrow_schema(end_schema := "k long, h long, start long, end long")
 
     def merge(table):
         import pyarrow as pa
@@ -385,10 +381,9 @@ def merged_repeats(reps: DataFrame, n_reps: int) -> DataFrame:
     return reps.mapInArrow(runs, schema).groupBy("bucket").applyInArrow(merge, end_schema)
 
 
-def sliced(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """gram, suffix (from the anchor on), left (before it, reversed), k, h, anchor of the wanted stretches."""
+def sliced(docs: DataFrame, wanted: DataFrame, may) -> DataFrame:
+    """gram, suffix (from the anchor on), left (before it, reversed), k, h, anchor of the wanted stretches; may: the bitmap of their rows, broadcast."""
     per_doc = wanted.groupBy("k", "h").agg(F.collect_list(F.struct("gram", "anchor", "start", "n")).alias("wanted"))
-    may = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("k", "h").alias("key"))))
     texts = docs.where(F.octet_length("text") >= SPAN).where(in_bitmap(F.xxhash64("k", "h"), may)).select("k", "h", "text").join(per_doc, ["k", "h"])
 
     def run(batch):
@@ -401,7 +396,7 @@ def sliced(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 "left": [raw[s["start"]:s["anchor"]][::-1] for s in stretches_],
             }
 
-    return map_arrow(texts, run, "gram long, k long, h int, anchor long, suffix binary, left binary").dropDuplicates(["k", "h", "anchor"])
+    return map_arrow(texts, run, "gram long, k long, h long, anchor long, suffix binary, left binary").dropDuplicates(["k", "h", "anchor"])
 
 
 def counted_repeats(reps: DataFrame) -> DataFrame:
@@ -419,7 +414,7 @@ def counted_repeats(reps: DataFrame) -> DataFrame:
                 "k": np.full(len(at), k), "h": np.full(len(at), h), "start": at + anchor - len(left),
             }
 
-    rows = map_batched(reps.select("suffix", "left", "k", "h", "anchor"), windows, "a long, b long, k long, h int, start long")
+    rows = map_batched(reps.select("suffix", "left", "k", "h", "anchor"), windows, "a long, b long, k long, h long, start long")
     again = cut(rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("a", "b"))
     return rows.join(again, ["a", "b"]).select("k", "h", "start", (F.col("start") + SPAN).alias("end"))
 
@@ -427,7 +422,10 @@ def counted_repeats(reps: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame, most: int = MOST) -> DataFrame:
     """k, h, start, end: stretches of bytes to remove (they may overlap) of documents as ``keyed`` makes them."""
     grams = cut(repeated_grams(docs))
-    found = cut(repeated_stretches(docs, grams))
+    send = docs.sparkSession.sparkContext.broadcast
+    may = send(bitmap(grams.select(F.col("gram").alias("key"))))
+    found = cut(repeated_stretches(docs, grams, may))
+    may.unpersist()
     one = F.min(F.struct("k", "h", "anchor", "start", "n")).alias("one")
     distinct = cut(found.groupBy("gram", "whole").agg(F.count(F.lit(1)).alias("c"), one))
     # anchor strings with several stretches of which at least one occurs once: those are open
@@ -435,7 +433,9 @@ def repeats(docs: DataFrame, most: int = MOST) -> DataFrame:
     wanted = cut(distinct.join(open_, "gram").select("gram", "m", "one.*"))
     of_copies = found.join(distinct.where("c > 1").select("gram", "whole"), ["gram", "whole"]).select(
         "k", "h", "start", (F.col("start") + F.col("n") + SPAN - 1).alias("end"))
-    reps = cut(sliced(docs, wanted).join(open_, "gram"))
+    may = send(bitmap(wanted.select(F.xxhash64("k", "h").alias("key"))))
+    reps = cut(sliced(docs, wanted, may).join(open_, "gram"))
+    may.unpersist()
     few = reps.where(F.col("m") <= most)
     many = reps.where(F.col("m") > most)
     out = of_copies.unionByName(merged_repeats(few, few.count()))
