@@ -10,17 +10,21 @@ they converge, so that repeated and similar tokens agree on their label; a token
 the base patterns miss is found through its look-alikes.  What the beliefs add has the
 kinds ``crf_email`` and so on and never overlaps a base span.
 
-Potentials are smoothed log ratios of counts taken in Spark over about ``FIT_DOCS``
-documents, chosen by a hash of the id, with the base patterns as teachers.
+The field is trained piece by piece, with the base patterns as teachers: each potential is the maximum-likelihood
+one of its own piece (smoothed log ratios of counts), which has a closed form for potentials that are tables.
+The counts are taken in Spark over all documents; looks are hashed into ``LOOKS`` slots, so that the model is of fixed size
+and every look counts.
 
 Defined results: a null or empty text has no spans; very long texts are searched whole;
-repeated rows repeat their result; an empty table gives no rows; other columns are not read.
+repeated rows, and rows with a null id, each have their own result; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import collections
 import itertools
 import re
+import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -32,14 +36,15 @@ from .spans import Span, clear_of, digest, joined
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, *(f"crf_{k}" for k in BASE_KINDS))
 LABELS = ("none", *BASE_KINDS)
-FIT_DOCS = 20_000
+LOOKS = 1 << 14
 #: Belief from which a token counts, log weight of a base match, characters of text in a block.
 SURE, CLAMP, BLOCK = 0.9, 12.0, 2_000_000
 #: Step of a message, updates of a message after which its step shrinks, so that every run ends, and change that counts.
 STEP, STEADY, TOLERANCE = 0.5, 100, 1e-3
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: A match can only start where a run of digits does, and never gives digits back, so that long runs take one pass.
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
@@ -137,7 +142,7 @@ class Nodes:
             n = len(self.doc)
             self.doc.append(doc)
             self.span.append((a + lead, a + lead + len(core)))
-            self.look.append(shape(core))
+            self.look.append(slot(shape(core)))
             self.label.append(LABELS.index(label))
             if last == i - 1:
                 self.chain.append((n - 1, n))
@@ -150,17 +155,24 @@ class Nodes:
         self.hub += [x for x in of_key.values() if len(x) > 2]
 
 
-def potentials(counts: list[tuple[str, str, str, int]]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Unary potentials by look and of an unknown look, chain potentials, skip potentials."""
+def slot(look: str) -> int:
+    return zlib.crc32(look.encode("utf-8", "surrogatepass")) % LOOKS
+
+
+def potentials(counts: list[tuple[str, int, int, int]]) -> tuple[dict[int, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Unary potentials by slot of the look and of an unknown look, chain potentials, skip potentials.
+
+    counts: ("look", slot, label, n), ("chain" or "skip", label, label, n).
+    """
     m = len(LABELS)
     chain, skip, total = np.full((m, m), 0.5), np.eye(m) * 2 + 0.1, np.ones(m)
-    looks: dict[str, np.ndarray] = {}
+    looks: dict[int, np.ndarray] = {}
     for kind, a, b, n in counts:
         if kind == "look":
-            looks.setdefault(a, np.zeros(m))[int(b)] += n
-            total[int(b)] += n
+            looks.setdefault(a, np.zeros(m))[b] += n
+            total[b] += n
         else:
-            (chain if kind == "chain" else skip)[int(a), int(b)] += n
+            (chain if kind == "chain" else skip)[a, b] += n
     prior = total / total.sum()
     pmi = lambda x: np.clip(np.log(x / x.sum()) - np.log(x.sum(0) / x.sum()) - np.log(x.sum(1, keepdims=True) / x.sum()), -4, 4)
     return {k: np.log((v + prior) / (v.sum() + 1)) for k, v in looks.items()}, np.log(prior), pmi(chain), pmi(skip + skip.T)
@@ -227,25 +239,22 @@ def worth(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.when(F.col("text").rlike(WORTH), F.col("text")).alias("text"))
 
 
-def fit(docs: DataFrame, fit_docs: int = FIT_DOCS):
-    """The field's potentials, from counts over a sample of the documents."""
-    share = min(1.0, fit_docs / max(1, docs.count()))
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("pii")), F.lit(1_000_000)) < int(share * 1_000_000)).where(F.col("text").rlike(WORTH))
+def fit(docs: DataFrame):
+    """The field's potentials, from counts over all documents; at most LOOKS x labels rows and two tables of labels come back."""
 
     def run(batch):
-        out = {"kind": [], "a": [], "b": []}
+        counts: collections.Counter = collections.Counter()
         for text in batch.column("text").to_pylist():
             nodes = Nodes()
             nodes.add(0, text, base_spans(text))
-            rows = [("look", x, str(y)) for x, y in zip(nodes.look, nodes.label, strict=True)]
-            rows += [(kind, str(nodes.label[i]), str(nodes.label[j])) for kind, links in (("chain", nodes.chain), ("skip", nodes.skip)) for i, j in links]
-            for name, column in zip(out, zip(*rows, strict=True), strict=False):
-                out[name] += column
-        return out
-
-    counted = map_arrow(chosen.select("text"), run, "kind string, a string, b string").groupBy("kind", "a", "b").agg(F.count(F.lit(1)).alias("n"))
-    kept = counted.orderBy(F.desc("n"), "kind", "a", "b").limit(5_000)  # rarer looks count as unknown
-    return potentials([tuple(r) for r in kept.collect()])
+            counts.update([("look", x, y) for x, y in zip(nodes.look, nodes.label, strict=True)])
+            counts.update([(kind, nodes.label[i], nodes.label[j]) for kind, links in (("chain", nodes.chain), ("skip", nodes.skip)) for i, j in links])
+        columns = list(zip(*counts, strict=True)) or [(), (), ()]
+        return {"kind": columns[0], "a": columns[1], "b": columns[2], "n": list(counts.values())}
+
+    counted = map_arrow(docs.where(F.col("text").rlike(WORTH)).select("text"), run, "kind string, a int, b int, n long")
+    summed = counted.groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
+    return potentials([tuple(r) for r in summed.collect()])
 
 
 def find(docs: DataFrame, model) -> DataFrame:

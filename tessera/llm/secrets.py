@@ -1,17 +1,19 @@
 """Secret scans: base patterns, and windows of high Shannon entropy over candidate strings.
 
-A candidate is a run of token characters with both letters and digits.  A window of
-``WINDOW`` characters slides over it; the counts of its characters, and with them its
+A candidate is a run of token characters with both letters and digits, or of letters whose case
+changes as often as in random ones.  What base spans cover is cut out of it.  A window of
+``WINDOW`` characters slides over what is left; the counts of its characters, and with them its
 entropy, are kept up step by step.  Each character class (hexadecimal, alphanumeric,
-base 64) has its own threshold.  What the allow-list matches (UUIDs, dates and versions,
-example values, names in words) is suppressed.  The method's spans have the kind
+base 64, letters) has its own threshold.  What the allow-list matches is suppressed: whole candidates
+that are UUIDs, dates and versions, names in words, or call themselves an example; and windows that
+hold filler (four or more zeros or x).  The method's spans have the kind
 ``entropy`` and never overlap a base span.
 
 A regular expression inside Spark first finds the texts that may hold anything; only
 those go to Python, whole.
 
 Defined results: a null or empty text has no spans; very long texts are scanned whole;
-repeated rows repeat their result; an empty table gives no rows; other columns are kept by
+repeated rows, and rows with a null id, each have their own result; an empty table gives no rows; other columns are kept by
 ``redact`` and not read by ``scan``.
 """
 
@@ -24,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import map_arrow, map_rows, read
-from .spans import Span, clear_of, digest, joined, masked
+from .spans import Span, digest, joined, masked
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "entropy")
@@ -39,18 +41,21 @@ ASSIGN = re.compile(rf"""({_KEYS})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # a run of 24 or more: the same matches as runs of any length, the short ones dropped
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: A text that this does not find has neither base matches nor candidates with a digit.
-WORTH = r"[0-9]|[:=][\x20]*[\x22']?[A-Za-z+/_.=-]{6}|[a-f]{24}|AKIA[A-Z]{16}"
+#: A text that this does not find has neither base matches nor candidates.
+WORTH = r"[A-Za-z0-9+/_=-]{20}|[:=][\x20]*[\x22']?[A-Za-z0-9+/_.=-]{6}"
 
 WINDOW = 20
 #: Bits a character, by class, from which a window counts; a window has at most log2(WINDOW) = 4.32.
-THRESHOLDS = {"hex": 2.9, "alnum": 3.6, "base64": 3.6}
+THRESHOLDS = {"hex": 2.9, "alnum": 3.6, "base64": 3.6, "letters": 3.9}
+#: Of the neighbours in a candidate of letters, the share that changes case, from which it looks random.
+CASES = 0.3
 ALLOWED = re.compile(
     r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"  # UUIDs
     r"|[0-9TZ_=+/-]+"  # dates and numbers
     r"|([A-Za-z]+[-_/=])*[A-Za-z]+[-_/=]?[0-9]{1,4}"  # names with a number at the end
-    r"|.*(EXAMPLE|example|XXXX|xxxx|0000).*"
+    r"|.*(EXAMPLE|example).*"
 )
+FILLER = re.compile("0{4,}|X{4,}|x{4,}")
 _TERM = [0.0, *(c * math.log2(c) for c in range(1, WINDOW + 1))]
 
 
@@ -82,17 +87,38 @@ def base_spans(text: str) -> list[Span]:
     return out + [("hex", *m.span()) for m in HEX.finditer(text)]
 
 
+def kind_of(run: str) -> str | None:
+    """The class of a candidate's characters; None if it looks like words or a number."""
+    if any("0" <= c <= "9" for c in run):
+        if not any(c.isalpha() for c in run):
+            return None
+        return "hex" if re.fullmatch("[0-9a-fA-F]+", run) else "alnum" if run.isalnum() else "base64"
+    changes = sum(a.isupper() != b.isupper() for a, b in zip(run, run[1:], strict=False))
+    return "letters" if run.isalpha() and changes >= CASES * len(run) else None
+
+
+def left_over(start: int, end: int, spans: list[Span]) -> list[tuple[int, int]]:
+    """The stretches of start:end outside the spans that a window fits into."""
+    out, at = [], start
+    for _, a, b in sorted(spans, key=lambda s: s[1]):
+        if a < end and b > at:
+            out.append((at, a))
+            at = b
+    return [(a, b) for a, b in [*out, (at, end)] if b - a >= WINDOW]
+
+
 def entropy_spans(text: str, base: list[Span]) -> list[Span]:
     out: list[Span] = []
     for m in CANDIDATE.finditer(text):
-        run = m[0]
-        if not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run) or ALLOWED.fullmatch(run):
+        if ALLOWED.fullmatch(m[0]):
             continue
-        kind = "hex" if re.fullmatch("[0-9a-fA-F]+", run) else "alnum" if run.isalnum() else "base64"
-        if hot := hot_stretch(run, THRESHOLDS[kind]):
-            a, b = m.start() + hot[0], m.start() + hot[1]
-            if clear_of(a, b, base):
-                out.append(("entropy", a, b))
+        filler = [("filler", m.start() + f.start(), m.start() + f.end()) for f in FILLER.finditer(m[0])]
+        near = [s for s in base if s[1] < m.end() and m.start() < s[2]]
+        for a, b in left_over(*m.span(), near + filler):
+            run = text[a:b]
+            kind = kind_of(run)
+            if kind and (hot := hot_stretch(run, THRESHOLDS[kind])):
+                out.append(("entropy", a + hot[0], a + hot[1]))
     return out
 
 
