@@ -13,7 +13,7 @@ prefix sum over a hot source never meets in one task: it is the sum of three bou
 (size classes of a source, buckets of a size class, rows of a bucket).
 
 Defined results: a null text or one without words has size 0 and takes 0 words; a null
-source is a source of its own, ordered last; a null id lies with the empty text; repeated
+source is a source of its own, ordered last; a null id is spread by its text; repeated
 rows are separate documents; an empty table gives no rows; other columns, whatever their
 names, are kept by ``mix`` and not read by ``taken``.
 """
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from ._common import WORD, cut, read
 
-BUCKETS = 256
+#: Buckets of a size class of a source: four hexadecimal digits of a hash.
+DIGITS = 4
 MOST = 3
 
 
@@ -37,6 +38,16 @@ def _hex(value: Column, digits: int) -> Column:
     return F.conv(F.substring(F.md5(value.cast("binary")), 1, digits), 16, 10).cast("long")
 
 
+def spread(doc_id: Column, text: Column) -> Column:
+    """A document's bucket, by its id, or by its text if it has none."""
+    return _hex(F.coalesce(doc_id.cast("string"), text, F.lit("")), DIGITS)
+
+
+def sized(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size, spread: what the mix reads of the documents."""
+    return docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), spread(F.col("doc_id"), F.col("text")).alias("spread"))
+
+
 def source_targets(sized: DataFrame, most: int = MOST, seed: str = "mix") -> DataFrame:
     """One row per source: source, source_size, target, u (its random offset in [0, 1))."""
     by_name = Window.orderBy(F.asc_nulls_last("source"))
@@ -72,10 +83,7 @@ def source_targets(sized: DataFrame, most: int = MOST, seed: str = "mix") -> Dat
 
 def _rank(sized: DataFrame) -> DataFrame:
     """``sized`` with n, the 1-based place of each row within its source."""
-    placed = sized.withColumns({
-        "_class": F.length(F.bin("size")),
-        "_bucket": (_hex(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 4) % BUCKETS).cast("int"),
-    })
+    placed = sized.withColumns({"_class": F.length(F.bin("size")), "_bucket": F.col("spread").cast("int")})
     earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     cells = placed.groupBy("source", "_class", "_bucket").agg(F.count(F.lit(1)).alias("c"))
     classes = placed.groupBy("source", "_class").agg(F.count(F.lit(1)).alias("c"))
@@ -98,15 +106,15 @@ def _rank(sized: DataFrame) -> DataFrame:
 
 
 def taken(sized: DataFrame, most: int = MOST, seed: str = "mix") -> DataFrame:
-    """From doc_id, source, size: doc_id, source, size, source_size, target, copies, taken."""
-    sized = cut(sized.select("doc_id", "source", F.col("size").cast("long").alias("size")))
+    """From what ``sized`` gives: doc_id, source, size, spread, source_size, target, copies, taken."""
+    sized = cut(sized)
     ranked = _rank(sized)
     targets = source_targets(sized, most, seed).withColumnRenamed("source", "_s")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     crossed = F.floor(F.col("u") + F.col("n") * rate) - F.floor(F.col("u") + (F.col("n") - 1) * rate)
     joined = ranked.join(targets, F.col("source").eqNullSafe(F.col("_s")))
     out = joined.select(
-        "doc_id", "source", "size", "source_size", "target",
+        "doc_id", "source", "size", "spread", "source_size", "target",
         F.least(crossed.cast("long"), F.lit(most).cast("long")).alias("copies"),
     )
     return out.withColumn("taken", F.col("copies") * F.col("size"))
@@ -119,10 +127,10 @@ def mix(docs: DataFrame, most: int = MOST, seed: str = "mix") -> DataFrame:
     most; the first of them by a hash of the text get the larger number.
     """
     part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\x00"))
-    key = F.concat_ws("\x01", part("doc_id"), part("source"), F.col("_size").cast("string"))
-    copies = taken(docs.select("doc_id", "source", size_of(F.col("text")).alias("size")), most, seed)
-    copies = copies.withColumnRenamed("size", "_size").groupBy(key.alias("_key")).agg(F.count(F.lit(1)).alias("_rows"), F.sum("copies").alias("_copies"))
-    own = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source", size_of(F.col("text")).alias("_size"))
+    key = F.concat_ws("\x01", part("doc_id"), part("source"), F.col("_size").cast("string"), F.col("_spread").cast("string"))
+    copies = taken(sized(docs), most, seed).withColumnsRenamed({"size": "_size", "spread": "_spread"}).groupBy(key.alias("_key")).agg(F.count(F.lit(1)).alias("_rows"), F.sum("copies").alias("_copies"))
+    own = docs.select(
+        F.struct(*docs.columns).alias("_row"), "doc_id", "source", size_of(F.col("text")).alias("_size"), spread(F.col("doc_id"), F.col("text")).alias("_spread"))
     own = own.select("_row", key.alias("_key"))  # whatever names the documents have, they don't meet these
     out = own.join(copies.where("_copies > 0"), "_key")
     nth = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64("_row.text")))
@@ -133,14 +141,14 @@ def mix(docs: DataFrame, most: int = MOST, seed: str = "mix") -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    out = taken(docs.select("doc_id", "source", size_of(F.col("text")).alias("size")))
+    out = taken(sized(read(spark, sf_dir, "documents")))
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
 ORACLE = r"""
 WITH d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 4)) AS BIGINT) AS spread FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
 ), w AS (
@@ -163,7 +171,7 @@ WITH d AS (
   FROM g
 ), r AS (
   SELECT d.*, row_number() OVER (PARTITION BY source ORDER BY length(bin(size)),
-    CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 4)) AS BIGINT) % 256, size, doc_id ASC NULLS FIRST) AS n
+    spread, size, doc_id ASC NULLS FIRST) AS n
   FROM d
 ), e AS (
   SELECT doc_id, size, source_size, target, u, n,

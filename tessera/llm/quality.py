@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import cut, read, words_of
+from ._common import cut, read, sampled, words_of
 
 FIT_ROWS = 20_000
 QUANTILES = 16
@@ -170,8 +170,7 @@ def learn(labelled: DataFrame) -> list[list[Condition]]:
 
 def training_rows(stats: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     labels = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", (F.col("quality") == 0).alias("bad"))
-    share = min(1.0, fit_rows / max(1, labels.count()))
-    chosen = labels.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < int(share * 1_000_000))
+    chosen = labels.where(sampled(fit_rows / max(1, labels.count()), "fit"))
     return cut(stats.where("NOT base_failed").join(chosen, "doc_id").select(
         *TESTED, "bad", (F.pmod(F.xxhash64("doc_id", F.lit("grow")), F.lit(3)) > 0).alias("grow")))
 

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import cut, fold_of, map_arrow, read
+from ._common import cut, fold_of, map_arrow, read, sampled
 
 FIT_ROWS = 6_000
 VOCABULARY = 1_000
@@ -43,8 +43,7 @@ def terms(sentence: str) -> set[str]:
 
 def _training_texts(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFrame:
     labels = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(fold_of(F.col("doc_id")) != 0).select("doc_id", "toxic")
-    share = min(1.0, fit_rows / max(1, labels.count()))
-    chosen = labels.where(F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1_000_000)) < int(share * 1_000_000))
+    chosen = labels.where(sampled(fit_rows / max(1, labels.count()), "toxic"))
     texts = docs.where("text IS NOT NULL").select("doc_id", "text")
     return cut(texts.join(chosen, "doc_id").select("text", (F.col("toxic") == 1).alias("toxic")))
 
