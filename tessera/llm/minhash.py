@@ -21,7 +21,7 @@ with nothing; with fewer than five words the whole sequence is the one shingle;
 null id links with nothing and is kept; rows that repeat an id are documents of their own, each linked by
 its own text, and the component is named by the smallest id among its rows; ``dedup`` keeps one row of each
 component, also of equal rows; an empty table gives no rows; other columns are not read.  Shingles are compared
-by 64-bit, whole sets and rows by 128-bit hashes.
+by 64-bit, values of a coordinate by 32-bit, whole sets and rows by 128-bit hashes.
 """
 
 from __future__ import annotations
@@ -80,11 +80,11 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 def signature(sets: np.ndarray) -> np.ndarray:
-    """Each coordinate's smallest value, mixed with the coordinate."""
+    """Each coordinate's smallest value, as 32 bits of its hash."""
     low = np.full(COORDINATES, np.uint64(2**64 - 1))
     for at in range(0, len(sets), 4096):
         low = np.minimum(low, (sets[at:at + 4096, None] * _A + _B).min(0))
-    return _mixed(low + np.arange(COORDINATES, dtype=np.uint64) * np.uint64(_BASE)).view(np.int64)
+    return _mixed(low).astype(np.uint32).view(np.int32)
 
 
 def text_hash(text: Column) -> Column:
@@ -106,18 +106,21 @@ def sketches(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     return map_arrow(
         docs.select("doc_id", "text", text_hash(F.col("text")).alias("of_text")), run,
-        f"doc_id {kind}, of_text struct<a: long, b: long>, n_shingles long, set_id binary, signature array<long>")
+        f"doc_id {kind}, of_text struct<a: long, b: long>, n_shingles long, set_id binary, signature array<int>")
 
 
-def prefix_postings(classes: DataFrame) -> DataFrame:
-    """rep, place (of the coordinate), token, mask (the coordinates of the prefix as bits): the postings of each class's prefix."""
-    posts = classes.select("rep", F.posexplode("signature").alias("place", "token"))
+def prefixes(classes: DataFrame) -> DataFrame:
+    """rep, n_shingles, prefix (its tokens: coordinate << 32 | value) and mask (its coordinates as bits) of each class that has a prefix."""
+    left = lambda x, k: F.call_function("shiftleft", x, k)
+    value = F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
+    posts = classes.select("rep", "n_shingles", F.posexplode("signature").alias("place", "v"))
+    posts = posts.select("rep", "n_shingles", left(F.col("place").cast("long"), F.lit(32)).bitwiseOR(value).alias("token"))
     shared = posts.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    ranked = posts.join(shared, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "token", "place"))).alias("p"))
-    prefix = F.slice("p", F.lit(1), F.size("p") - MATCHES + 1)
-    kept = ranked.where(F.size("p") >= MATCHES).select("rep", prefix.alias("p"))
-    mask = F.aggregate("p", F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.place)))
-    return kept.select("rep", F.explode("p").alias("x"), mask.alias("mask")).select("rep", "x.place", "x.token", "mask")
+    ranked = posts.join(shared, "token").groupBy("rep", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("p"))
+    first = F.transform(F.slice("p", F.lit(1), F.size("p") - MATCHES + 1), lambda x: x.token)
+    kept = ranked.where(F.size("p") >= MATCHES).select("rep", "n_shingles", first.alias("prefix"))
+    place = lambda t: F.shiftright(t, 32).cast("int")
+    return kept.withColumn("mask", F.aggregate("prefix", F.lit(0).cast("long"), lambda m, t: m.bitwiseOR(left(F.lit(1).cast("long"), place(t)))))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -198,7 +201,7 @@ GROUP = ["token", "lo", "hi"]
 def dealt(placed: DataFrame, block: int | None = None) -> DataFrame:
     """The members of lists that span components, by list and blocks (token, lo, hi) that meet, with their side.
 
-    placed: rep, place, token, mask, component, n_shingles, signature.  Of each list the members outside its
+    placed: rep, token, mask, component, n_shingles.  Of each list the members outside its
     largest component are dealt into blocks that meet each other; blocks of that component meet only those.
     """
     block = block or BLOCK
@@ -216,21 +219,19 @@ def dealt(placed: DataFrame, block: int | None = None) -> DataFrame:
     meets = F.when(F.col("in"), F.sequence(F.lit(0), F.col("outer") - 1)).otherwise(F.sequence(F.lit(0), F.col("outer") + F.col("inner") - 1))
     rows = rows.withColumn("with", F.explode(meets))
     side = F.when(F.col("own") == F.col("with"), 0).when(F.col("own") < F.col("with"), 1).otherwise(2)
-    return rows.select(
-        "token", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), side.alias("side"), F.col("place").cast("int").alias("place"),
-        "mask", "rep", "component", "signature")
+    return rows.select("token", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), side.alias("side"), "mask", "rep", "component")
 
 
-MEMBER = "token long, lo int, hi int, side int, place int, mask long, rep long, component long, signature array<long>"
+MEMBER = "token long, lo int, hi int, side int, mask long, rep long, component long, signature array<int>"
 
 
 def _arrays(held: dict[str, list]) -> tuple[np.ndarray, np.ndarray, int, np.ndarray, np.ndarray]:
     """The arguments of ``candidates``."""
-    return np.array(held["signature"], np.int64), np.array(held["mask"], np.int64), held["place"][0], np.array(held["component"]), np.array(held["side"])
+    return np.array(held["signature"], np.int32), np.array(held["mask"], np.int64), held["token"][0] >> 32, np.array(held["component"]), np.array(held["side"])
 
 
 def colliding(members: DataFrame) -> DataFrame:
-    """The members that have a candidate, from rows as ``dealt`` makes them."""
+    """The members that have a candidate, from rows as ``dealt`` makes them with their signatures."""
     types = arrow_schema(MEMBER)
 
     def run(batches):
@@ -276,14 +277,15 @@ def near_rows(docs: DataFrame) -> DataFrame:
     classes = usable.groupBy("set_id").agg(
         F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "of_text")).alias("one"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     classes = cut(classes.withColumn("rep", F.monotonically_increasing_id()))  # written, so that the numbers stay
-    posts = cut(prefix_postings(classes))
+    heads = cut(prefixes(classes))
+    posts = heads.select("rep", F.explode("prefix").alias("token"))
 
     # one hub for each list; each class is compared with the hub it meets most often
     order = F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("hub"))
     hubs = posts.groupBy("token").agg(F.min(order).hub.alias("hub"))
     met = posts.join(hubs, "token").where("rep <> hub").groupBy("rep", "hub").agg(F.count(F.lit(1)).alias("n"))
     first = met.groupBy("rep").agg(F.max(F.struct("n", "hub")).hub.alias("b")).select(F.col("rep").alias("a"), "b")
-    used = classes.join(posts.select("rep").distinct(), "rep", "left_semi").select("rep", "one.*")
+    used = classes.join(heads.select("rep"), "rep", "left_semi").select("rep", "one.*")
     own = docs.select(F.col("doc_id").alias("_id"), text_hash(F.col("text")).alias("_of"), "text")
     texts = own.join(used, (F.col("_id") == F.col("doc_id")) & (F.col("_of") == F.col("of_text"))).select("rep", "text")
     texts = cut(texts.dropDuplicates(["rep"]))
@@ -291,10 +293,9 @@ def near_rows(docs: DataFrame) -> DataFrame:
     joined = components(links)
 
     # lists whose members are in different components yet
-    placed = posts.join(joined, posts.rep == joined.node, "left").select("rep", "place", "token", "mask", F.coalesce("component", "rep").alias("component"))
-    mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    placed = placed.join(mixed, "token").join(classes.select("rep", "n_shingles", "signature"), "rep")
-    members = cut(colliding(dealt(placed)))
+    placed = heads.join(joined, heads.rep == joined.node, "left").select(
+        "rep", "n_shingles", "mask", F.coalesce("component", "rep").alias("component"), F.explode("prefix").alias("token"))
+    members = cut(colliding(dealt(placed).join(classes.select("rep", "signature"), "rep")))
     if not members.isEmpty():
         across = cut(links_across(members, texts))
         if not across.isEmpty():
