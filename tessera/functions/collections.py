@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from typing import Any
 
 from pyspark.sql import Column
@@ -75,9 +77,15 @@ def flat(m: str | Column) -> Column:
     return F.flatten(F.transform(F.map_entries(col(m)), lambda e: F.array(e.key, e.value)))
 
 
-# JSON texts
+def pairs(keys: str | Column, values: str | Column) -> Column:
+    """A map from an array of keys and one of values."""
+    return F.map_from_arrays(col(keys), col(values))
+
+
+# JSON texts: values keep their types, for what is changed passes as variants
 def json_path(*keys: str | int) -> str:
-    return "$" + "".join(f"[{k}]" if isinstance(k, int) else f".{k}" for k in keys)
+    """Names that are no plain words are quoted."""
+    return "$" + "".join(f"[{k}]" if isinstance(k, int) else f".{k}" if re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", k) else f"['{k}']" for k in keys)
 
 
 def json_text(j: str | Column, *keys: str | int) -> Column:
@@ -88,15 +96,107 @@ def json_exists(j: str | Column, *keys: str | int) -> Column:
     return F.try_variant_get(F.try_parse_json(col(j)), json_path(*keys), "variant").isNotNull()
 
 
+def json_value(value: Any) -> Column:
+    """A variant from a column of a simple type or from a Python value."""
+    return value.cast("variant") if isinstance(value, Column) else F.parse_json(F.lit(json.dumps(value)))
+
+
+def json_members(j: str | Column) -> Column:
+    """The members of an object as a map to variants."""
+    return F.from_json(col(j), "map<string,variant>")
+
+
+def json_elements(j: str | Column) -> Column:
+    """The elements of an array as an array of variants."""
+    return F.from_json(col(j), "array<variant>")
+
+
 def json_set(j: str | Column, **values: Any) -> Column:
-    """The object with members of plain values put in or replaced; all values become texts."""
-    entries = F.from_json(col(j), "map<string,string>")
-    new = F.create_map(*(x for k, v in values.items() for x in (F.lit(k), (v if isinstance(v, Column) else F.lit(v)).cast("string"))))
-    return F.to_json(merged(entries, new))
+    """The object with members put in or replaced."""
+    return F.to_json(merged(json_members(j), F.create_map(*(x for k, v in values.items() for x in (F.lit(k), json_value(v))))))
 
 
 def json_remove(j: str | Column, *keys: str) -> Column:
-    return F.to_json(without_keys(F.from_json(col(j), "map<string,string>"), *keys))
+    return F.to_json(without_keys(json_members(j), *keys))
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _changed(j: Column, path: tuple[str | int, ...], change) -> Column:
+    """j with the value at a path replaced by change(old value as text, or null if there is none) as text; null takes it out."""
+    key, rest = path[0], path[1:]
+    inner = (lambda old: _changed(old, rest, change)) if rest else change
+    if isinstance(key, int):
+
+        def element(items: Column) -> Column:
+            head, tail = F.slice(items, F.lit(1), F.lit(key)), F.slice(items, F.lit(key + 2), F.greatest(F.size(items), F.lit(1)))
+            new = inner(F.to_json(F.get(items, F.lit(key))))
+            made = _let(new, lambda x: F.when(x.isNull(), F.to_json(F.concat(head, tail))).otherwise(F.to_json(F.concat(head, F.array(F.parse_json(x)), tail))))
+            return F.when(F.size(items) <= key, F.to_json(items)).otherwise(made)
+
+        return _let(json_elements(j), element)
+
+    def member(members: Column) -> Column:
+        others = without_keys(members, key)
+        new = inner(F.to_json(F.try_element_at(members, F.lit(key))))
+        return _let(new, lambda x: F.when(x.isNull(), F.to_json(others)).otherwise(F.to_json(F.map_concat(others, F.create_map(F.lit(key), F.parse_json(x))))))
+
+    return _let(json_members(j), member)
+
+
+def json_set_path(j: str | Column, path: list[str | int], value: Any) -> Column:
+    """The value at a path put in or replaced; what leads there must exist."""
+    return _changed(col(j), tuple(path), lambda old: F.to_json(json_value(value)))
+
+
+def json_insert(j: str | Column, path: list[str | int], value: Any) -> Column:
+    """A value put in where there is none."""
+    return _changed(col(j), tuple(path), lambda old: F.coalesce(old, F.to_json(json_value(value))))
+
+
+def json_replace(j: str | Column, path: list[str | int], value: Any) -> Column:
+    """A value replaced where there is one."""
+    return _changed(col(j), tuple(path), lambda old: F.when(old.isNotNull(), F.to_json(json_value(value))))
+
+
+def json_delete_path(j: str | Column, path: list[str | int]) -> Column:
+    return _changed(col(j), tuple(path), lambda old: F.lit(None).cast("string"))
+
+
+def json_concat(a: str | Column, b: str | Column) -> Column:
+    """Both objects' members; where both have a name, the right one's."""
+    return F.to_json(merged(json_members(a), json_members(b)))
+
+
+def json_contains(a: str | Column, b: str | Column) -> Column:
+    """Whether every member of b is a member of a with the same value (values are compared whole)."""
+    texts = lambda m: F.transform(F.map_entries(m), lambda e: F.struct(e.key.alias("k"), F.to_json(e.value).alias("v")))
+    return F.size(F.array_except(texts(json_members(b)), texts(json_members(a)))) == 0
+
+
+def json_keys(j: str | Column) -> Column:
+    return F.json_object_keys(col(j))
+
+
+def json_array_length(j: str | Column) -> Column:
+    return F.json_array_length(col(j))
+
+
+def json_strip_nulls(j: str | Column) -> Column:
+    """The object without members that are null."""
+    return F.to_json(F.map_filter(json_members(j), lambda k, v: ~F.is_variant_null(v)))
+
+
+def json_query(j: str | Column, path: str) -> Column:
+    """What a path with wildcards ($.a[*].b) finds, as JSON text."""
+    return F.get_json_object(col(j), path)
+
+
+def json_pretty(j: str | Column) -> Column:
+    return F.to_json(F.try_parse_json(col(j)), {"pretty": "true"})
 
 
 def is_json(j: str | Column) -> Column:

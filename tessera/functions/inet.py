@@ -9,12 +9,14 @@ from ..operators.filters import col
 
 
 def number(a: str | Column) -> Column:
-    """The address as a number."""
-    parts = F.split(F.split_part(col(a), F.lit("/"), F.lit(1)), r"\.")
+    """The address as a number; null if it is none."""
+    own = F.split_part(col(a), F.lit("/"), F.lit(1))
+    parts = F.split(own, r"\.")
     out = F.lit(0).cast("long")
     for i in range(4):
-        out = out * 256 + F.get(parts, F.lit(i)).cast("long")
-    return out
+        out = out * 256 + F.get(parts, F.lit(i)).try_cast("long")
+    octet = "(25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
+    return F.when(own.rlike(rf"^{octet}(\.{octet}){{3}}$"), out)
 
 
 def text(n: Column) -> Column:

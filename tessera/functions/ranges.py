@@ -68,9 +68,25 @@ def intersection(a: str | Column, b: str | Column) -> Column:
 
 
 def merge(a: str | Column, b: str | Column) -> Column:
-    """The smallest range with both; ends must be closed."""
+    """The smallest range with both; an open end stays open, and an empty range adds nothing."""
+    x, y = col(a), col(b)
+    both = F.struct(
+        F.when(x.lower.isNotNull() & y.lower.isNotNull(), F.least(x.lower, y.lower)).alias("lower"),
+        F.when(x.upper.isNotNull() & y.upper.isNotNull(), F.greatest(x.upper, y.upper)).alias("upper"),
+        F.coalesce(F.when(x.lower == y.lower, x.lower_inc | y.lower_inc).when(x.lower < y.lower, x.lower_inc).when(x.lower > y.lower, y.lower_inc), F.lit(False)).alias("lower_inc"),
+        F.coalesce(F.when(x.upper == y.upper, x.upper_inc | y.upper_inc).when(x.upper > y.upper, x.upper_inc).when(x.upper < y.upper, y.upper_inc), F.lit(False)).alias("upper_inc"))
+    return F.when(is_empty(a), y).when(is_empty(b), x).otherwise(both)
+
+
+def starts_after(a: str | Column, b: str | Column) -> Column:
+    """Whether a does not reach to the left of b."""
     a, b = col(a), col(b)
-    return F.struct(
-        F.least(a.lower, b.lower).alias("lower"), F.greatest(a.upper, b.upper).alias("upper"),
-        F.when(a.lower == b.lower, a.lower_inc | b.lower_inc).when(a.lower < b.lower, a.lower_inc).otherwise(b.lower_inc).alias("lower_inc"),
-        F.when(a.upper == b.upper, a.upper_inc | b.upper_inc).when(a.upper > b.upper, a.upper_inc).otherwise(b.upper_inc).alias("upper_inc"))
+    low = F.coalesce((a.lower > b.lower) | ((a.lower == b.lower) & (b.lower_inc | ~a.lower_inc)), F.lit(False))
+    return (low | b.lower.isNull()) & ~is_empty(a) & ~is_empty(b)
+
+
+def ends_before(a: str | Column, b: str | Column) -> Column:
+    """Whether a does not reach to the right of b."""
+    a, b = col(a), col(b)
+    high = F.coalesce((a.upper < b.upper) | ((a.upper == b.upper) & (b.upper_inc | ~a.upper_inc)), F.lit(False))
+    return (high | b.upper.isNull()) & ~is_empty(a) & ~is_empty(b)

@@ -8,8 +8,9 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from .filters import all_of
 from .paging import top_per_group
@@ -42,11 +43,17 @@ class Association:
             on = all_of(F.col(f"j.{a}") == F.col(f"o.{b}") for a, b in self.far_keys.items())
             out = self.through.alias("j").join(self.other.alias("o"), on).select(
                 *(F.col(f"j.{c}").alias(f"_k{i}") for i, c in enumerate(self.keys.values())), row)
-        limit = 1 if self.one else self.limit
-        if limit is not None and self.order:
-            keys = [f"_k{i}" for i in range(len(self.keys))]
-            ordered = out.select("*", "row.*") if keys else out
-            out = top_per_group(ordered, keys, self.order, limit, self.offset).select(*keys, "row")
+        limit, keys = 1 if self.one else self.limit, [f"_k{i}" for i in range(len(self.keys))]
+        if self.order:
+            nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*self.order))
+            out = out.select("*", "row.*").select(*keys, "row", nth.alias("_n"))
+            if limit is not None:
+                out = out.where(F.col("_n").between(self.offset + 1, self.offset + limit))
+        elif limit == 1 and not self.offset:  # any one row, by one aggregate
+            out = out.groupBy(*keys).agg(F.first("row").alias("row"))
+        elif limit is not None:
+            columns = [f"row.{f.name}" for f in self.other.schema if not isinstance(f.dataType, MapType)]
+            out = top_per_group(out, keys, [F.col(c) for c in columns], limit, self.offset)
         return out
 
     def on(self, own: DataFrame) -> Column:
@@ -69,8 +76,13 @@ def eager(own: DataFrame, *associations: Association) -> DataFrame:
     for a in associations:
         keys = [f"_k{i}" for i in range(len(a.keys))]
         rows = a.rows()
-        if not a.one:
-            rows = rows.groupBy(*keys).agg(F.array_sort(F.collect_list("row")).alias("row"))
+        if not a.one and a.order:  # in the declared order
+            gathered = F.array_sort(F.collect_list(F.struct("_n", "row")), lambda x, y: x["_n"] - y["_n"])
+            rows = rows.groupBy(*keys).agg(F.transform(gathered, lambda x: x.row).alias("row"))
+        elif not a.one:
+            rows = rows.groupBy(*keys).agg(F.sort_array(F.collect_list("row")).alias("row"))
+        else:
+            rows = rows.select(*keys, "row")
         joined = out.join(rows, all_of(out[c] == F.col(f"_k{i}") for i, c in enumerate(a.keys)), "left")
         empty = F.col("row") if a.one else F.coalesce("row", F.array().cast(rows.schema["row"].dataType))
         out = joined.select(*(out[c] for c in out.columns), empty.alias(a.name))
@@ -98,7 +110,7 @@ def associated(own: DataFrame, association: Association) -> DataFrame:
 
 def to_many_by_array(own: DataFrame, array: str, other: DataFrame, key: str, name: str) -> DataFrame:
     """Own rows with the other table's rows whose key is in an array column."""
-    exploded = own.withColumn("_at", F.monotonically_increasing_id())
-    pairs = exploded.select("_at", F.explode(F.array_distinct(array)).alias("_k")).join(other, F.col("_k") == other[key])
-    found = pairs.groupBy("_at").agg(F.array_sort(F.collect_list(F.struct(*(other[c] for c in other.columns)))).alias(name))
-    return exploded.join(found, "_at", "left").drop("_at")
+    arrays = own.select(F.col(array).alias("_a")).distinct()  # rows with one array have the same partners
+    pairs = arrays.select("_a", F.explode(F.array_distinct("_a")).alias("_k")).join(other, F.col("_k") == other[key])
+    found = pairs.groupBy("_a").agg(F.sort_array(F.collect_list(F.struct(*(other[c] for c in other.columns)))).alias(name))
+    return own.join(found, own[array] == found["_a"], "left").select(*(own[c] for c in own.columns), name)

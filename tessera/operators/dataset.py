@@ -84,6 +84,16 @@ class Dataset:
     def having(self, spec: Any) -> Dataset:
         return replace(self, having_filter=self._and(self.having_filter, conditions(spec)))
 
+    def exclude_having(self, spec: Any) -> Dataset:
+        return replace(self, having_filter=self._and(self.having_filter, ~conditions(spec)))
+
+    def exclude_or_null_having(self, spec: Any) -> Dataset:
+        return replace(self, having_filter=self._and(self.having_filter, ~F.coalesce(conditions(spec), F.lit(False))))
+
+    def nullify(self) -> Dataset:
+        """The same columns without a row."""
+        return Dataset(self.df.where(F.lit(False)))
+
     @staticmethod
     def _and(a: Column | None, b: Column) -> Column:
         return b if a is None else a & b
@@ -186,7 +196,12 @@ class Dataset:
             out = out.groupingSets([[F.col(k) for k in s] for s in self.sets_of_keys], *(col(k) for k in self.keys)).agg(*self.aggregates)
         elif self.keys or self.aggregates:
             grouped = getattr(out, self.grouping)(*(col(k) for k in self.keys))
-            out = grouped.agg(*self.aggregates) if self.aggregates else out.select(*self.keys).distinct()
+            if self.aggregates:
+                out = grouped.agg(*self.aggregates)
+            elif self.grouping == "groupBy":
+                out = out.select(*self.keys).distinct()
+            else:  # the subtotal rows come from the grouping alone
+                out = grouped.agg(F.count(F.lit(1)).alias("_n")).drop("_n")
         if self.having_filter is not None:
             out = out.where(self.having_filter)
         if self.projection:
@@ -208,7 +223,9 @@ class Dataset:
         return self.df.count()
 
     def _value(self, aggregate: Callable, name: str) -> Any:
-        return self.unordered().df.agg(aggregate(name)).first()[0]
+        """Of the rows that this query gives: where it is limited, its order says which."""
+        limited = self.count_limit is not None or self.skip
+        return (self if limited else self.unordered()).df.agg(aggregate(name)).first()[0]
 
     def avg(self, name: str) -> Any:
         return self._value(F.avg, name)
@@ -225,8 +242,10 @@ class Dataset:
     def empty(self) -> bool:
         return self.df.isEmpty()
 
-    def first(self) -> Row | None:
-        return self.limit(1).df.first()
+    def first(self, n: int | None = None, spec: Any = None, **pairs: Any) -> Row | list[Row] | None:
+        """The first row, or the first n; with a condition, of the rows for which it holds."""
+        rows = self.where(spec, **pairs) if spec is not None or pairs else self
+        return rows.limit(1).df.first() if n is None else rows.limit(n).df.collect()
 
     def first_or_raise(self) -> Row:
         if (row := self.first()) is None:
@@ -261,6 +280,41 @@ class Dataset:
     def select_map(self, column: Key) -> list:
         return [r[0] for r in self.select(column).df.collect()]
 
+    def select_order_map(self, column: str) -> list:
+        return self.select(column).order(column).select_map(column)
+
+    def select_set(self, column: Key) -> set:
+        return {r[0] for r in self.select(column).df.distinct().collect()}
+
+    def select_hash(self, key: str, value: str) -> dict:
+        return self.as_hash(key, value)
+
+    def select_hash_groups(self, key: str, value: str) -> dict:
+        return self.to_groups(key, value)
+
+    def single_value(self) -> Any:
+        row = self.first()
+        return None if row is None else row[0]
+
+    def single_value_or_raise(self) -> Any:
+        return self.first_or_raise()[0]
+
+    def explain(self, mode: str = "formatted") -> str:
+        """Spark's plan as text."""
+        return self.df._jdf.queryExecution().explainString(self.df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString(mode))
+
+    def each_page(self, size: int) -> Iterator[Any]:
+        """The pages of an ordered query one after another."""
+        from .paging import paginate
+
+        if not self.order_keys:
+            raise ValueError("each_page needs an order")
+        page = paginate(self.df, 1, size)
+        yield page
+        while page.next:
+            page = paginate(self.df, page.next, size, page.record_count)
+            yield page
+
     def paged_each(self, rows: int = 1000) -> Iterator[Row]:
         """All rows in order, fetched in pages after the last key seen; the order must be unique."""
         if not self.order_keys:

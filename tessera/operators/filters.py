@@ -61,6 +61,12 @@ def not_in(column: str | Column, values: Iterable[Any], *, nulls_known: bool = F
     return out & col(column).isNotNull() if nulls_known and len(known) < len(values) else out
 
 
+def is_in_null_aware(column: str | Column, values: Iterable[Any]) -> Column:
+    """Membership that is unknown where the column is null, also for an empty list."""
+    values = list(values)
+    return col(column).isin(values) if values else col(column) != col(column)
+
+
 def tuples_in(columns: list[str], values: Iterable[tuple]) -> Column:
     """Whether several columns together are one of the tuples."""
     return any_of(all_of(col(c) == v for c, v in zip(columns, row, strict=True)) for row in values)

@@ -89,11 +89,32 @@ def merge(target: DataFrame, source: DataFrame, keys: Mapping[str, str], branche
     return rows.where(stays).select(*(pick(c).alias(c) for c in target.columns))
 
 
-def upsert(table: DataFrame, rows: DataFrame, key: str, update_columns: Sequence[str] | None = None, ignore: bool = False) -> DataFrame:
-    """INSERT ... ON CONFLICT (key): update the columns (all others by default), or ignore the new row."""
-    columns = [c for c in (update_columns or table.columns) if c != key]
+def upsert(table: DataFrame, rows: DataFrame, key: str | Sequence[str], update_columns: Sequence[str] | None = None, ignore: bool = False) -> DataFrame:
+    """INSERT ... ON CONFLICT (keys): update the columns (all others by default), or ignore the new row."""
+    keys = [key] if isinstance(key, str) else list(key)
+    columns = [c for c in (update_columns or table.columns) if c not in keys]
     matched = Branch("matched", nothing=True) if ignore else Branch("matched", {c: F.col(f"s.{c}") for c in columns})
-    return merge(table, rows, {key: key}, [matched, Branch("not_matched", {c: F.col(f"s.{c}") for c in table.columns})])
+    return merge(table, rows, {k: k for k in keys}, [matched, Branch("not_matched", {c: F.col(f"s.{c}") for c in table.columns})])
+
+
+def replace(table: DataFrame, rows: DataFrame, key: str | Sequence[str]) -> DataFrame:
+    """REPLACE: rows of the table with a key of the new ones go, and all new ones come in; columns that they lack are null."""
+    keys = [key] if isinstance(key, str) else list(key)
+    return insert(table.join(rows.select(*keys), keys, "left_anti").select(*table.columns), rows)
+
+
+def update_using(table: DataFrame, other: DataFrame, keys: Mapping[str, str], values: Mapping[str, Column]) -> DataFrame:
+    """UPDATE with a join; values name columns as ``t.x`` and ``s.x``.  The other table's keys must be unique."""
+    return merge(table, other, keys, [Branch("matched", values)])
+
+
+def insert_select(table: DataFrame, rows: DataFrame | Sequence[Mapping[str, Any]]) -> DataFrame:
+    """The rows as an insert makes them: columns of the table, null where a row does not name one."""
+    return insert(truncate(table), rows)
+
+
+def truncate(table: DataFrame) -> DataFrame:
+    return table.where(F.lit(False))
 
 
 def for_portion_of(table: DataFrame, start: str, end: str, low: Any, high: Any, where: Any, values: Mapping[str, Any]) -> DataFrame:

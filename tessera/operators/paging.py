@@ -38,11 +38,19 @@ def with_ties(df: DataFrame, order: Sequence[str], k: int, ascending: bool = Tru
 
 
 def after(order: Sequence[tuple[str, str, str | None]], last: Sequence[Any]) -> Column:
-    """Rows behind a row with these values: (a > x) or (a = x and b > y) and so on."""
+    """Rows behind a row with these values: (a > x) or (a = x and b > y) and so on.
+
+    Nulls lie where the order puts them; where it does not say, first if ascending and last if descending, as in Spark.
+    """
     steps = []
-    for i, (c, way, _) in enumerate(order):
-        beyond = F.col(c) > F.lit(last[i]) if way == "asc" else F.col(c) < F.lit(last[i])
-        steps.append(all_of(F.col(order[j][0]) == F.lit(last[j]) for j in range(i)) & beyond)
+    for i, (c, way, nulls) in enumerate(order):
+        nulls_last = nulls == "last" or (nulls is None and way == "desc")
+        if last[i] is None:
+            beyond = F.lit(False) if nulls_last else F.col(c).isNotNull()
+        else:
+            beyond = F.col(c) > F.lit(last[i]) if way == "asc" else F.col(c) < F.lit(last[i])
+            beyond = beyond | F.col(c).isNull() if nulls_last else F.coalesce(beyond, F.lit(False))
+        steps.append(all_of(F.col(order[j][0]).eqNullSafe(F.lit(last[j])) for j in range(i)) & beyond)
     return any_of(steps)
 
 

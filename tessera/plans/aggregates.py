@@ -103,3 +103,21 @@ def pricing_summary(t):
 @query("SELECT EXISTS (SELECT 1 FROM orders WHERE o_totalprice > 1e9) AS found")
 def emptiness_probe(t):
     return t.spark.createDataFrame([(not Dataset(t.orders).where(F.col("o_totalprice") > 1e9).empty(),)], "found boolean")
+
+
+@query("SELECT avg(o_totalprice) AS mean, min(o_totalprice) AS low, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM (SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 5)")
+def avg_of_limited(t):
+    """Aggregates of a limited query are taken over the rows that its order and limit choose."""
+    top = Dataset(t.orders).order(("o_totalprice", "desc"), "o_orderkey").limit(50, 5)
+    return t.spark.createDataFrame([(top.avg("o_totalprice"), top.min("o_totalprice"), top.sum("o_orderkey"))], "mean double, low double, keys long")
+
+
+@query("SELECT l_returnflag, l_linestatus FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+def rollup_keys_only(t):
+    return Dataset(t.lineitem).group("l_returnflag", "l_linestatus").group_rollup().df
+
+
+@query("SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment HAVING NOT coalesce(count(*) > (SELECT count(*) / 5 FROM customer), false)")
+def exclude_or_null_having(t):
+    fifth = Dataset(t.customer).count() // 5
+    return Dataset(t.customer).group("c_mktsegment").agg(rows().alias("n")).exclude_or_null_having(F.col("n") > fifth).df

@@ -87,11 +87,12 @@ def one_through_one(t):
     return a.association_join(t.supplier, best).select("s_suppkey", "parts.p_partkey")
 
 
-@query("SELECT d.doc_id, count(x.doc_id) AS n FROM documents d LEFT JOIN documents x ON x.lang = d.lang AND x.source = d.source AND x.doc_id < 50 WHERE d.doc_id < 100 GROUP BY d.doc_id")
+@query("""SELECT c_custkey, count(s_suppkey) AS n FROM customer LEFT JOIN supplier ON s_nationkey = c_nationkey AND s_suppkey % 7 = c_custkey % 7 GROUP BY c_custkey""")
 def composite_keys(t):
-    few = t.documents.select("doc_id", "lang", "source")
-    same = a.Association("same", few.where("doc_id < 50"), {"lang": "lang", "source": "source"})
-    return a.eager(few.where("doc_id < 100"), same).select("doc_id", F.size("same").cast("long").alias("n"))
+    own = t.customer.select("c_custkey", "c_nationkey", (F.col("c_custkey") % 7).alias("c_seven"))
+    other = t.supplier.select("s_suppkey", "s_nationkey", (F.col("s_suppkey") % 7).alias("s_seven"))
+    same = a.Association("same", other, {"c_nationkey": "s_nationkey", "c_seven": "s_seven"})
+    return a.eager(own, same).select("c_custkey", F.size("same").cast("long").alias("n"))
 
 
 @query("""SELECT d.doc_id, coalesce(x.n, 0) AS n FROM documents d LEFT JOIN (SELECT lang, source, count(*) AS n FROM documents GROUP BY lang, source) x
@@ -123,3 +124,23 @@ def single_table_inheritance(t):
 def class_table_inheritance(t):
     kind = F.when(F.col("quality").isNull(), "document").otherwise("labelled")
     return t.documents.join(t.labels, "doc_id", "left").select("doc_id", "lang", "quality", kind.alias("kind"))
+
+
+@query("""SELECT c_custkey, o_orderkey, row_number() OVER (PARTITION BY c_custkey ORDER BY o_totalprice DESC, o_orderkey) - 1 AS at
+FROM customer JOIN orders ON o_custkey = c_custkey""")
+def eager_ordered(t):
+    """Nested rows come in the association's order, not by their first columns."""
+    by_price = orders_of_customer(t, order=(F.desc("o_totalprice"), F.col("o_orderkey")))
+    return a.eager(t.customer, by_price).select("c_custkey", F.posexplode("orders.o_orderkey").alias("at", "o_orderkey"))
+
+
+@query("""SELECT c_custkey, count(DISTINCT o_custkey) AS n, count(DISTINCT o_custkey) = 0 OR bool_or(true) AS own FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey""")
+def one_to_one_unordered(t):
+    """Without an order any one row is taken, and its owner comes once."""
+    out = a.eager(t.customer, orders_of_customer(t, one=True))
+    return out.select("c_custkey", F.col("orders").isNotNull().cast("long").alias("n"), F.coalesce(F.col("orders.o_custkey") == F.col("c_custkey"), F.lit(True)).alias("own"))
+
+
+@query("SELECT c_custkey, least(count(o_orderkey), 2) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+def eager_limited_unordered(t):
+    return a.eager(t.customer, orders_of_customer(t, limit=2)).select("c_custkey", F.size("orders").cast("long").alias("n"))

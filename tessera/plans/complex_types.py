@@ -1,5 +1,6 @@
 """Arrays, maps, JSON, ranges and networks."""
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import collections as c
@@ -138,9 +139,9 @@ def kinds_by_json(events):
     return made.select("user_id", F.array_join(F.transform(items, lambda x: x.event_type), ",").alias("kinds"))
 
 
-@query("SELECT user_id, string_agg(event_type, ',' ORDER BY event_id) AS kinds FROM events WHERE event_id < 300 GROUP BY user_id")
+@query("SELECT user_id, string_agg(event_type, ',' ORDER BY event_id) AS kinds FROM events GROUP BY user_id")
 def json_build_and_read_array(t):
-    return kinds_by_json(t.events.where("event_id < 300"))
+    return kinds_by_json(t.events)
 
 
 @query("SELECT user_id, string_agg(event_type, ',' ORDER BY event_id) AS kinds FROM events GROUP BY user_id")
@@ -160,3 +161,83 @@ def range_intersection(t):
     b = t.nation.select(F.col("n_nationkey").alias("j"), ranges.make(F.col("n_nationkey"), F.col("n_nationkey") + F.col("n_regionkey")).alias("b"))
     both = a.crossJoin(b).where(ranges.overlaps("a", "b")).select("i", "j", ranges.intersection("a", "b").alias("r"))
     return both.select("i", "j", F.col("r.lower").alias("lo"), F.col("r.upper").alias("hi"))
+
+
+NESTED = """SELECT event_id, '{"a":{"b":' || user_id || ',"c":[' || event_id || ',"x",null]},"n":' || user_id || ',"s":"' || event_type || '","z":null}' AS j FROM events"""
+
+
+def nested(t):
+    text = lambda c: F.col(c).cast("string")
+    parts = ('{"a":{"b":', text("user_id"), ',"c":[', text("event_id"), ',"x",null]},"n":', text("user_id"), ',"s":"', F.col("event_type"), '","z":null}')
+    return t.events.select("event_id", "user_id", "event_type", F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts)).alias("j"))
+
+
+@query("""SELECT event_id, '{"b":' || user_id || ',"c":[' || event_id || ',"x",null]}' AS a, user_id AS n, true AS z, 'number' AS kind FROM events""")
+def json_set_keeps_types(t):
+    out = nested(t).select("event_id", c.json_remove(c.json_set("j", z=True, y="t"), "y").alias("j"))
+    return out.select("event_id", c.json_text("j", "a").alias("a"), c.json_text("j", "n").cast("long").alias("n"), c.json_text("j", "z").cast("boolean").alias("z"), c.json_type("j", "n").alias("kind"))
+
+
+@query("SELECT event_id, user_id + 1 AS b, event_type AS kind, event_id AS first FROM events")
+def json_set_path(t):
+    out = c.json_set_path(c.json_set_path("j", ["a", "b"], F.col("user_id") + 1), ["a", "c", 1], F.col("event_type"))
+    return nested(t).select("event_id", out.alias("j")).select(
+        "event_id", c.json_text("j", "a", "b").cast("long").alias("b"), c.json_text("j", "a", "c", 1).alias("kind"), c.json_text("j", "a", "c", 0).cast("long").alias("first"))
+
+
+@query("SELECT event_id, user_id AS kept, 7 AS made, 9 AS changed, true AS none FROM events")
+def json_insert_and_replace(t):
+    out = c.json_insert(c.json_insert("j", ["a", "b"], 5), ["a", "d"], 7)
+    out = c.json_replace(c.json_replace(out, ["n"], 9), ["a", "none"], 1)
+    number = lambda *path: c.json_text("k", *path)
+    return nested(t).select("event_id", out.alias("k")).select(
+        "event_id", number("a", "b").cast("long").alias("kept"), number("a", "d").cast("int").alias("made"), number("n").cast("int").alias("changed"), number("a", "none").isNull().alias("none"))
+
+
+@query("""SELECT event_id, '{"c":[' || event_id || ',null]}' AS a FROM events""")
+def json_delete_path(t):
+    out = c.json_delete_path(c.json_delete_path("j", ["a", "b"]), ["a", "c", 1])
+    return nested(t).select("event_id", c.json_text(out, "a").alias("a"))
+
+
+@query(f"SELECT event_id, array_to_string(json_keys(j), ',') AS keys, json_array_length(j, '$.a.c') AS n FROM ({NESTED})")
+def json_keys_and_length(t):
+    return nested(t).select("event_id", F.array_join(c.json_keys("j"), ",").alias("keys"), c.json_array_length(c.json_text("j", "a", "c")).cast("long").alias("n"))
+
+
+@query(f"SELECT event_id, i AS at, CAST(json_extract(j, '$.a.c[' || i || ']') AS VARCHAR) AS v FROM ({NESTED}), (SELECT unnest([0, 1, 2]) AS i)")
+def json_array_elements(t):
+    return nested(t).select("event_id", F.posexplode(c.json_elements(c.json_text("j", "a", "c"))).alias("at", "v")).select("event_id", "at", F.to_json("v").alias("v"))
+
+
+@query("""SELECT event_id, user_id % 2 = 0 AS n, true AS s, false AS other FROM events""")
+def json_contains(t):
+    even = F.concat(F.lit('{"n":'), (F.col("user_id") - F.col("user_id") % 2).cast("string"), F.lit("}"))
+    word = F.concat(F.lit('{"z":null,"s":"'), F.col("event_type"), F.lit('"}'))
+    return nested(t).select("event_id", c.json_contains("j", even).alias("n"), c.json_contains("j", word).alias("s"), c.json_contains("j", F.lit('{"s":1}')).alias("other"))
+
+
+@query("SELECT event_id, event_id AS n, 1 AS more, event_type AS s FROM events")
+def json_concat(t):
+    other = F.concat(F.lit('{"more":1,"n":'), F.col("event_id").cast("string"), F.lit("}"))
+    return nested(t).select("event_id", c.json_concat("j", other).alias("k")).select(
+        "event_id", c.json_text("k", "n").cast("long").alias("n"), c.json_text("k", "more").cast("int").alias("more"), c.json_text("k", "s").alias("s"))
+
+
+@query("SELECT event_id, 'a,n,s' AS keys FROM events")
+def json_strip_nulls(t):
+    return nested(t).select("event_id", F.array_join(c.json_keys(c.json_strip_nulls("j")), ",").alias("keys"))
+
+
+@query("""SELECT event_id, '[' || event_id || ',"x",null]' AS found, user_id AS dotted FROM events""")
+def json_queries_and_quoted_names(t):
+    dotted = F.concat(F.lit('{"a.b":{"c d":'), F.col("user_id").cast("string"), F.lit("}}"))
+    return nested(t).select("event_id", c.json_query("j", "$.a.c[*]").alias("found"), c.json_text(dotted, "a.b", "c d").cast("long").alias("dotted"))
+
+
+@query(f"SELECT i, j, least(al, bl) AS lo, greatest(au, bu) AS hi, al >= bl AS after, au <= bu AS before FROM ({RANGES}) WHERE al < bu AND bl < au AND bl < bu")
+def range_merge(t):
+    a = t.nation.select(F.col("n_nationkey").alias("i"), ranges.make(F.col("n_nationkey"), F.col("n_nationkey") + 5).alias("a"))
+    b = t.nation.select(F.col("n_nationkey").alias("j"), ranges.make(F.col("n_nationkey"), F.col("n_nationkey") + F.col("n_regionkey")).alias("b"))
+    both = a.join(b, ranges.overlaps("a", "b")).select("i", "j", "a", "b", ranges.merge("a", "b").alias("r"))
+    return both.select("i", "j", F.col("r.lower").alias("lo"), F.col("r.upper").alias("hi"), ranges.starts_after("a", "b").alias("after"), ranges.ends_before("a", "b").alias("before"))

@@ -75,3 +75,23 @@ UNION ALL SELECT id, greatest(a, 10), least(b, 15), 'new' FROM s WHERE a < 15 AN
 def temporal_update(t):
     k = F.col("n_nationkey")
     return m.for_portion_of(t.nation.select(k.alias("id"), k.alias("a"), (k + 6).alias("b"), F.lit("old").alias("v")), "a", "b", 10, 15, F.lit(True), {"v": "new"})
+
+
+@query("""SELECT l_orderkey, l_linenumber, min(CASE WHEN l_orderkey % 5 = 0 THEN l_quantity + 1 ELSE l_quantity END) AS l_quantity FROM lineitem GROUP BY ALL
+UNION ALL SELECT o_orderkey, 99, 1.0 FROM orders WHERE o_orderkey % 50 = 0""")
+def upsert_two_keys(t):
+    own = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("l_quantity"))
+    changed = own.where("l_orderkey % 5 = 0").withColumn("l_quantity", F.col("l_quantity") + 1)
+    new = t.orders.where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(99).alias("l_linenumber"), F.lit(1.0).alias("l_quantity"))
+    return m.upsert(own, changed.unionByName(new), ["l_orderkey", "l_linenumber"])
+
+
+@query("SELECT c_custkey, CASE WHEN n_name IS NULL THEN c_mktsegment ELSE n_name END AS c_mktsegment FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND n_regionkey = 1")
+def update_with_join(t):
+    other = t.nation.where("n_regionkey = 1")
+    return m.update_using(t.customer, other, {"c_nationkey": "n_nationkey"}, {"c_mktsegment": F.col("s.n_name")}).select("c_custkey", "c_mktsegment")
+
+
+@query("SELECT * FROM region WHERE r_regionkey > 1 UNION ALL SELECT 0, 'NEW' UNION ALL SELECT 1, NULL")
+def replace_rows(t):
+    return m.replace(t.region, m.insert_select(t.region, [{"r_regionkey": 0, "r_name": "NEW"}, {"r_regionkey": 1}]), "r_regionkey")

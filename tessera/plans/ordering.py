@@ -57,3 +57,21 @@ def paginate(t):
 @query("SELECT * FROM (SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 10) x WHERE c_custkey % 2 = 0")
 def filter_after_limit(t):
     return Dataset(t.customer).select("c_custkey", "c_acctbal").order(("c_acctbal", "desc"), "c_custkey").limit(10).from_self().where(F.col("c_custkey") % 2 == 0).df
+
+
+def _quality(t):
+    return t.documents.join(t.labels, "doc_id", "left").select("doc_id", F.when(F.col("quality") == 1, F.col("toxic")).alias("mark"))
+
+
+@query("SELECT d.doc_id, CASE WHEN quality = 1 THEN toxic END AS mark FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def paged_nulls(t):
+    """Pages after the last key reach every row, also those whose key is null."""
+    found = list(Dataset(_quality(t)).order(("mark", "desc", "last"), "doc_id").paged_each(max(1, t.documents.count() // 4)))
+    return t.spark.createDataFrame([tuple(r) for r in found], "doc_id long, mark int")
+
+
+@query("""SELECT doc_id FROM (SELECT d.doc_id, CASE WHEN quality = 1 THEN toxic END AS mark FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
+WHERE mark IS NULL AND doc_id > 20""")
+def keyset_after_null(t):
+    """The rows behind (null, 20) where nulls come last."""
+    return _quality(t).where(paging.after([("mark", "desc", "last"), ("doc_id", "asc", None)], [None, 20])).select("doc_id")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import collections as c
 from tessera.functions import ranges, texts
-from tessera.operators import frames, joins, modify, paging, recursion
+from tessera.operators import associations, frames, joins, modify, paging, recursion
 from tessera.operators import filters as f
 from tessera.operators.dataset import Dataset, NoMatchingRow
 from tessera.sources import tables
@@ -169,3 +169,35 @@ def test_stream_agrees_with_its_batch_twin(spark, tmp_path):
     running.awaitTermination(120)
     got, want = spark.table("tessera_out"), windows.tumbling(rows, "1 hour", ("user_id",))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_results_shaped(spark):
+    rows = Dataset(spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, None)], "v int, k string"))
+    assert rows.select_hash_groups("k", "v") == {"a": [1, 3], "b": [2], None: [4]} and rows.select_hash("v", "k")[2] == "b"
+    assert rows.select_set("k") == {"a", "b", None} and rows.order("v").first(2) == rows.order("v").limit(2).all()
+    assert rows.first(k="b").v == 2 and rows.where(v=3).single_value() == 3 and rows.nullify().all() == []
+    assert rows.select_order_map("v") == [1, 2, 3, 4] and "Physical Plan" in rows.explain()
+    assert [[r.v for r in p.df.collect()] for p in rows.order("v").each_page(3)] == [[1, 2, 3], [4]]
+
+
+def test_aggregates_of_a_limited_query(spark):
+    rows = Dataset(spark.range(100).toDF("v"))
+    assert rows.order(("v", "desc")).limit(5).avg("v") == 97 and rows.order("v").limit(5).max("v") == 4 and rows.order("v").offset(98).sum("v") == 197
+
+
+def test_pages_reach_null_keys(spark):
+    table = spark.createDataFrame([(1, None), (2, 5), (3, None), (4, 7)], "id int, k int")
+    for way in ("asc", "desc"):
+        for nulls in ("first", "last", None):
+            rows = Dataset(table).order(("k", way, nulls), "id")
+            for size in (1, 2, 3):
+                assert list(rows.paged_each(size)) == rows.all()
+
+
+def test_association_order_and_limits(spark):
+    own = spark.createDataFrame([(1,), (2,)], "id int")
+    other = spark.createDataFrame([(9, 1, "a"), (3, 1, "b"), (6, 1, "c")], "k int, own int, s string")
+    loaded = lambda **more: {r.id: r.x for r in associations.eager(own, associations.Association("x", other, {"id": "own"}, **more)).collect()}
+    assert [r.k for r in loaded(order=(F.col("s"),))[1]] == [9, 3, 6] and loaded(order=(F.col("s"),))[2] == []
+    assert len(loaded(limit=2)[1]) == 2 and loaded(one=True)[1].own == 1 and loaded(one=True)[2] is None
+    assert associations.eager(own, associations.Association("x", other, {"id": "own"}, one=True)).count() == 2
