@@ -6,7 +6,7 @@ import json
 import re
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.filters import all_of, any_of, col
@@ -28,6 +28,14 @@ def contains(a: str | Column, b: Column) -> Column:
     return F.size(F.array_except(b, col(a))) == 0
 
 
+def length(a: str | Column, dimension: int = 1) -> Column:
+    """The number of elements in a dimension, by the first element of each one above; null where there is none."""
+    a = col(a)
+    for _ in range(dimension - 1):
+        a = F.get(a, F.lit(0))
+    return F.when(F.size(a) > 0, F.size(a))
+
+
 def replaced(a: str | Column, old: Any, new: Any) -> Column:
     return F.transform(col(a), lambda x: F.when(x.eqNullSafe(F.lit(old)), F.lit(new)).otherwise(x))
 
@@ -77,6 +85,11 @@ def flat(m: str | Column) -> Column:
     return F.flatten(F.transform(F.map_entries(col(m)), lambda e: F.array(e.key, e.value)))
 
 
+def matrix(m: str | Column) -> Column:
+    """An array of key and value for each entry."""
+    return F.transform(F.map_entries(col(m)), lambda e: F.array(e.key, e.value))
+
+
 def pairs(keys: str | Column, values: str | Column) -> Column:
     """A map from an array of keys and one of values."""
     return F.map_from_arrays(col(keys), col(values))
@@ -195,6 +208,16 @@ def json_query(j: str | Column, path: str) -> Column:
     return F.get_json_object(col(j), path)
 
 
+def json_path_exists(j: str | Column, path: str) -> Column:
+    return json_query(j, path).isNotNull()
+
+
+def json_table(df: DataFrame, column: str, path: str, **types: str) -> DataFrame:
+    """A row for each element of the array at a path, with members of the given types; what does not fit is null."""
+    items = df.select("*", F.explode(json_elements(json_query(column, path))).alias("_item"))
+    return items.select(*df.columns, *(F.try_variant_get("_item", json_path(name), kind).alias(name) for name, kind in types.items()))
+
+
 def json_pretty(j: str | Column) -> Column:
     return F.to_json(F.try_parse_json(col(j)), {"pretty": "true"})
 

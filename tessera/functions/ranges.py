@@ -39,7 +39,8 @@ def right_of(a: str | Column, b: str | Column) -> Column:
 
 
 def overlaps(a: str | Column, b: str | Column) -> Column:
-    return ~left_of(a, b) & ~left_of(b, a) & ~is_empty(a) & ~is_empty(b)
+    apart = left_of(a, b) | left_of(b, a) | is_empty(a) | is_empty(b)
+    return F.when(col(a).isNotNull() & col(b).isNotNull(), ~apart)
 
 
 def contains(a: str | Column, b: str | Column) -> Column:
@@ -90,3 +91,41 @@ def ends_before(a: str | Column, b: str | Column) -> Column:
     a, b = col(a), col(b)
     high = F.coalesce((a.upper < b.upper) | ((a.upper == b.upper) & (b.upper_inc | ~a.upper_inc)), F.lit(False))
     return (high | b.upper.isNull()) & ~is_empty(a) & ~is_empty(b)
+
+
+def lower_inf(r: str | Column) -> Column:
+    return col(r).lower.isNull() & ~is_empty(r)
+
+
+def upper_inf(r: str | Column) -> Column:
+    return col(r).upper.isNull() & ~is_empty(r)
+
+
+def union(a: str | Column, b: str | Column) -> Column:
+    """Both together; null where a gap lies between them."""
+    return F.when(overlaps(a, b) | adjacent(a, b) | is_empty(a) | is_empty(b), merge(a, b))
+
+
+def difference(a: str | Column, b: str | Column) -> Column:
+    """What of a lies outside b, as an array of none, one or two ranges."""
+    x, y = col(a), col(b)
+    before = F.struct(x.lower.alias("lower"), y.lower.alias("upper"), x.lower_inc.alias("lower_inc"), (~y.lower_inc).alias("upper_inc"))
+    after = F.struct(y.upper.alias("lower"), x.upper.alias("upper"), (~y.upper_inc).alias("lower_inc"), x.upper_inc.alias("upper_inc"))
+    parts = F.array(F.when(y.lower.isNotNull() & ~is_empty(before), before), F.when(y.upper.isNotNull() & ~is_empty(after), after))
+    return F.when(overlaps(a, b), F.filter(parts, lambda p: p.isNotNull())).otherwise(F.filter(F.array(x), lambda p: ~is_empty(p)))
+
+
+def multirange(rs: str | Column) -> Column:
+    """An array of ranges as the fewest ranges that hold the same values, in order."""
+
+    def joined(done: Column, r: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        touches = F.coalesce(overlaps(last, r) | adjacent(last, r), F.lit(False))
+        return F.when(touches, F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(merge(last, r)))).otherwise(F.concat(done, F.array(r)))
+
+    known = F.filter(col(rs), lambda r: r.isNotNull() & ~is_empty(r))
+    return F.aggregate(F.sort_array(known), F.filter(known, lambda r: F.lit(False)), joined)
+
+
+def multirange_contains(rs: str | Column, x: Any) -> Column:
+    return F.exists(col(rs), lambda r: contains_value(r, x))

@@ -5,8 +5,8 @@ Everything is a join or a window over whole tables; nothing loads row by row.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,6 +34,10 @@ class Association:
     limit: int | None = None
     offset: int = 0
 
+    def refined(self, change: Callable[[DataFrame], DataFrame], **options) -> Association:
+        """The association over changed rows of the other table (a condition, a join), or with other options (order, limit, name)."""
+        return replace(self, other=change(self.other), **options)
+
     def rows(self) -> DataFrame:
         """The other table's rows as struct ``row`` with the columns _k0, _k1 ... that own rows match."""
         row = F.struct(*(F.col(f"o.{c}") for c in self.other.columns)).alias("row")

@@ -14,7 +14,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from . import joins, sets
+from . import frames, joins, recursion, sets
 from .filters import all_of, col, conditions
 
 Key = str | Column
@@ -56,6 +56,47 @@ class Dataset:
     order_keys: tuple[tuple[str, str, str | None], ...] = ()
     count_limit: int | None = None
     skip: int | None = None
+    tables: tuple[tuple[str, DataFrame], ...] = ()
+    windows: tuple[tuple[str, frames.Named], ...] = ()
+
+    # names within a query
+    def with_(self, name: str, other: Dataset | DataFrame | str, columns: list[str] | None = None, materialized: bool = False) -> Dataset:
+        """WITH: later joins, compounds and ``from_`` may use the query by its name; materialized keeps its rows, so that they are computed once."""
+        df = self._named(other)
+        df = df.toDF(*columns) if columns else df
+        return replace(self, tables=(*self.tables, (name, (df.persist() if materialized else df).alias(name))))
+
+    def with_recursive(self, name: str, base: Dataset | DataFrame | str, step: Callable[[DataFrame], DataFrame], distinct: bool = False) -> Dataset:
+        return self.with_(name, recursion.recursive(self._named(base), step, distinct=distinct))
+
+    def from_(self, other: Dataset | DataFrame | str) -> Dataset:
+        """Another source under the same names."""
+        return self._rows(self._named(other))
+
+    def window(self, name: str, partition: tuple = (), order: tuple = (), rows: tuple | None = None, range: tuple | None = None, base: str | None = None) -> Dataset:  # noqa: A002
+        """WINDOW: a window by name, which may start from an earlier one."""
+        own = frames.Named(tuple(partition), tuple(order), rows, range)
+        return replace(self, windows=(*self.windows, (name, own if base is None else dict(self.windows)[base].extended(own))))
+
+    def over(self, name: str, **outputs: Column) -> Dataset:
+        """Adds functions over a named window to the projection."""
+        spec = dict(self.windows)[name].spec
+        return self.select_append(*(f.over(spec).alias(out) for out, f in outputs.items()))
+
+    def create_view(self, name: str) -> Dataset:
+        """A temporary view, replaced if there is one."""
+        self.df.createOrReplaceTempView(name)
+        return self
+
+    def _named(self, other: Dataset | DataFrame | str) -> DataFrame:
+        if not isinstance(other, str):
+            return other.df if isinstance(other, Dataset) else other
+        if other not in dict(self.tables):
+            raise LookupError(f"no query is called {other}")
+        return dict(self.tables)[other]
+
+    def _rows(self, df: DataFrame) -> Dataset:
+        return Dataset(df, tables=self.tables, windows=self.windows)
 
     # filters
     def where(self, spec: Any = None, **pairs: Any) -> Dataset:
@@ -92,7 +133,7 @@ class Dataset:
 
     def nullify(self) -> Dataset:
         """The same columns without a row."""
-        return Dataset(self.df.where(F.lit(False)))
+        return self._rows(self.df.where(F.lit(False)))
 
     @staticmethod
     def _and(a: Column | None, b: Column) -> Column:
@@ -109,7 +150,7 @@ class Dataset:
         return replace(self, projection=(*columns, *(self.projection or ("*",))))
 
     def select_remove(self, *names: str) -> Dataset:
-        return Dataset(self.df.drop(*names))
+        return self._rows(self.df.drop(*names))
 
     def select_group(self, *columns: Key) -> Dataset:
         return replace(self, keys=columns, projection=())
@@ -172,21 +213,21 @@ class Dataset:
         return replace(self, count_limit=None, skip=None)
 
     # joins and compounds: these work on the rows so far
-    def join(self, other: Dataset | DataFrame, on: Any = None, how: str = "inner") -> Dataset:
-        return Dataset(joins.join(self.df, _frame(other), on, how))
+    def join(self, other: Dataset | DataFrame | str, on: Any = None, how: str = "inner") -> Dataset:
+        return self._rows(joins.join(self.df, self._named(other), on, how))
 
-    def union(self, other: Dataset | DataFrame, all: bool = False) -> Dataset:  # noqa: A002
-        return Dataset(sets.union(self.df, _frame(other), all))
+    def union(self, other: Dataset | DataFrame | str, all: bool = False) -> Dataset:  # noqa: A002
+        return self._rows(sets.union(self.df, self._named(other), all))
 
-    def intersect(self, other: Dataset | DataFrame, all: bool = False) -> Dataset:  # noqa: A002
-        return Dataset(sets.intersect(self.df, _frame(other), all))
+    def intersect(self, other: Dataset | DataFrame | str, all: bool = False) -> Dataset:  # noqa: A002
+        return self._rows(sets.intersect(self.df, self._named(other), all))
 
-    def except_(self, other: Dataset | DataFrame, all: bool = False) -> Dataset:  # noqa: A002
-        return Dataset(sets.except_(self.df, _frame(other), all))
+    def except_(self, other: Dataset | DataFrame | str, all: bool = False) -> Dataset:  # noqa: A002
+        return self._rows(sets.except_(self.df, self._named(other), all))
 
     def from_self(self, alias: str | None = None, columns: list[str] | None = None) -> Dataset:
         df = self.df.toDF(*columns) if columns else self.df
-        return Dataset(df.alias(alias) if alias else df)
+        return self._rows(df.alias(alias) if alias else df)
 
     # the DataFrame
     @property
@@ -331,9 +372,5 @@ class Dataset:
             last = [found[-1][c] for c, _, _ in self.order_keys]
 
 
-def _frame(other: Dataset | DataFrame) -> DataFrame:
-    return other.df if isinstance(other, Dataset) else other
-
-
 def where_all(df: DataFrame, *specs: Any) -> DataFrame:
     return df.where(all_of(conditions(s) for s in specs))

@@ -1,13 +1,37 @@
-"""Window frames that Spark's windows do not have: GROUPS offsets and EXCLUDE."""
+"""Named windows, and frames that Spark's windows do not have: GROUPS offsets and EXCLUDE."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
+@dataclass(frozen=True)
+class Named:
+    """A window that others may start from; rows and range are a frame's two ends."""
+
+    partition: tuple = ()
+    order: tuple = ()
+    rows: tuple[int, int] | None = None
+    range: tuple[int, int] | None = None
+
+    def extended(self, more: Named) -> Named:
+        """As in SQL: what starts from a window adds an order if that has none, and a frame; never a partition."""
+        if more.partition or (more.order and self.order) or self.rows or self.range:
+            raise ValueError("a window that starts from another one only adds an order, or a frame where there is none")
+        return Named(self.partition, more.order or self.order, more.rows, more.range)
+
+    @property
+    def spec(self) -> WindowSpec:
+        out = Window.partitionBy(*self.partition)
+        out = out.orderBy(*self.order) if self.order else out
+        out = out.rowsBetween(*self.rows) if self.rows else out
+        return out.rangeBetween(*self.range) if self.range else out
+
+
 def groups_frame(df: DataFrame, partition: Sequence[str], order: str, start: int, end: int, **outputs: Callable[[Column], Column] | tuple) -> DataFrame:
     """Aggregates over peer groups start..end around each row's own (negative: before).
 
@@ -36,6 +60,38 @@ def sum_excluding(df: DataFrame, partition: Sequence[str], order: Sequence[str],
     return df.withColumn(name, F.when(known > known_out, F.sum(own).over(frame) - left_out))
 
 
+def aggregate_excluding(df: DataFrame, partition: Sequence[str], order: str, value: str, exclude: str, start: int, end: int, **outputs: str) -> DataFrame:
+    """sum, count, avg, min or max over peer groups start..end without the current row, its group, or its ties.
+
+    The frame (start <= 0 <= end) is put together from the frames on both sides of what is left out, so that
+    aggregates that cannot be taken back (min, max) work too.  outputs: name = aggregate.
+    """
+    ordered = Window.partitionBy(*partition).orderBy("_peer")
+    peers = Window.partitionBy(*partition, "_peer").orderBy("_peer")
+    parts = [ordered.rangeBetween(start, -1)] if start < 0 else []
+    parts += [ordered.rangeBetween(1, end)] if end > 0 else []
+    parts += {
+        "current": [peers.rowsBetween(Window.unboundedPreceding, -1), peers.rowsBetween(1, Window.unboundedFollowing)],
+        "ties": [peers.rowsBetween(0, 0)],
+        "group": [],
+    }[exclude]
+
+    def over(kind: str) -> Column:
+        if kind == "avg":
+            return F.try_divide(over("sum"), over("count"))
+        found = [getattr(F, kind)(value).over(w) for w in parts]
+        if kind in ("min", "max"):
+            pick = F.least if kind == "min" else F.greatest
+            return pick(*found) if len(found) > 1 else (found or [F.lit(None)])[0]
+        total = F.lit(0)
+        for x in found:
+            total = total + F.coalesce(x, F.lit(0))
+        return total if kind == "count" else F.when(over("count") > 0, total)
+
+    numbered = df.withColumn("_peer", F.dense_rank().over(Window.partitionBy(*partition).orderBy(order)))
+    return numbered.withColumns({name: over(kind) for name, kind in outputs.items()}).drop("_peer")
+
+
 def count_distinct_over(df: DataFrame, partition: Sequence[str], column: str, name: str) -> DataFrame:
     """count(DISTINCT column) OVER (PARTITION BY ...), by an aggregate joined back."""
     counted = df.groupBy(*(F.col(k).alias(f"_{k}") for k in partition)).agg(F.countDistinct(column).alias(name))

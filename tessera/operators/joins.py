@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import ranges
 from .filters import all_of
 
 
@@ -58,6 +59,26 @@ def apply(left: DataFrame, right: DataFrame, on: Column | None = None, outer: bo
     return left.lateralJoin(right, on, "left" if outer else "inner")
 
 
+def overlap_join(left: DataFrame, right: DataFrame, a: str, b: str, width: float) -> DataFrame:
+    """Pairs of rows whose ranges of numbers overlap, by an equality join on bins of a width.
+
+    A row goes to every bin that its range reaches, and a pair is kept in the first bin that both reach, so that it
+    comes once.  An open end reaches as far as any end on either side.  Choose a width of about a usual range.
+    """
+    known = left.select(F.explode(F.array(f"{a}.lower", f"{a}.upper")).alias("x")).union(right.select(F.explode(F.array(f"{b}.lower", f"{b}.upper"))))
+    ends = known.agg(F.coalesce(F.min("x"), F.lit(0)).alias("_low"), F.coalesce(F.max("x"), F.lit(0)).alias("_high"))
+
+    def binned(df: DataFrame, r: str, first: str) -> DataFrame:
+        at = lambda end, limit: F.floor(F.coalesce(F.col(f"{r}.{end}"), F.col(limit)) / width)
+        rows = df.where(F.col(r).isNotNull() & ~ranges.is_empty(r)).crossJoin(F.broadcast(ends))  # one row
+        rows = rows.withColumn(first, at("lower", "_low"))
+        return rows.withColumn("_bin", F.explode(F.sequence(F.col(first), at("upper", "_high")))).drop("_low", "_high")
+
+    pairs = binned(left, a, "_first_a").join(binned(right, b, "_first_b"), "_bin")
+    own = (F.col("_bin") == F.greatest("_first_a", "_first_b")) & ranges.overlaps(a, b)
+    return pairs.where(own).drop("_bin", "_first_a", "_first_b")
+
+
 def graph(tables: Mapping[str, DataFrame], links: Mapping[str, Column], how: str = "left") -> DataFrame:
     """Joins tables under their aliases and keeps each one's row apart.
 

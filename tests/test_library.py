@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import collections as c
-from tessera.functions import ranges, texts
+from tessera.functions import inet, ranges, texts
 from tessera.operators import associations, frames, joins, modify, paging, recursion
 from tessera.operators import filters as f
 from tessera.operators.dataset import Dataset, NoMatchingRow
@@ -201,3 +201,32 @@ def test_association_order_and_limits(spark):
     assert [r.k for r in loaded(order=(F.col("s"),))[1]] == [9, 3, 6] and loaded(order=(F.col("s"),))[2] == []
     assert len(loaded(limit=2)[1]) == 2 and loaded(one=True)[1].own == 1 and loaded(one=True)[2] is None
     assert associations.eager(own, associations.Association("x", other, {"id": "own"}, one=True)).count() == 2
+
+
+def test_queries_and_windows_by_name(spark, win):
+    d = Dataset(win).with_("some", Dataset(win).where(group_id=1), columns=["i", "g", "x"])
+    assert sorted(r.i for r in d.from_("some").all()) == [1, 2, 3]
+    assert d.join("some", F.col("id") == F.col("some.i")).count() == 3
+    with pytest.raises(LookupError):
+        d.from_("none")
+    with pytest.raises(ValueError):
+        d.window("w", ["id"]).window("v", ["group_id"], base="w")
+    with pytest.raises(ValueError):
+        d.window("w", order=["id"]).window("v", order=["amount"], base="w")
+
+
+def test_open_ranges_join_and_split(spark):
+    rows = [(1, None, 3), (2, 5, None), (3, 2, 6), (4, 4, 4), (5, None, None)]
+    df = spark.createDataFrame(rows, "i int, lo int, hi int").select("i", ranges.make(F.col("lo"), F.col("hi")).alias("a"))
+    other = df.select(F.col("i").alias("j"), F.col("a").alias("b"))
+    want = {(1, 1), (1, 3), (1, 5), (2, 2), (2, 3), (2, 5), (3, 1), (3, 2), (3, 3), (3, 5), (5, 1), (5, 2), (5, 3), (5, 5)}
+    got = [(r.i, r.j) for r in joins.overlap_join(df, other, "a", "b", 2).collect()]
+    assert len(got) == len(want) and set(got) == want
+    cut = {r.i: r.n for r in df.select("i", F.size(ranges.difference("a", ranges.make(F.lit(3), F.lit(5)))).alias("n")).collect()}
+    assert cut == {1: 1, 2: 1, 3: 2, 4: 0, 5: 2}
+
+
+def test_addresses_that_are_none(spark):
+    texts_ = ["::", "1::", "::1", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::8", "1::2::3", ":::", "1:2", "g::", "1.2.3.4", "1.2.3.400", "12345::"]
+    df = spark.createDataFrame([(x,) for x in texts_], "x string")
+    assert [r[0] for r in df.select(inet.family("x")).collect()] == [6, 6, 6, 6, None, None, None, None, None, 4, None, None]
