@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -36,6 +37,21 @@ def length(a: str | Column, dimension: int = 1) -> Column:
     return F.when(F.size(a) > 0, F.size(a))
 
 
+def compares_all(value: Any, how: Callable[[Column, Column], Column], a: str | Column) -> Column:
+    """value how ALL (a), with how from ``operator``: true for no element, null if only a null stands against it."""
+    return F.forall(col(a), lambda x: how(value if isinstance(value, Column) else F.lit(value), x))
+
+
+def compares_any(value: Any, how: Callable[[Column, Column], Column], a: str | Column) -> Column:
+    """value how ANY (a): false for no element, null if only a null might fit."""
+    return F.exists(col(a), lambda x: how(value if isinstance(value, Column) else F.lit(value), x))
+
+
+def dimensions(a: str | Column, depth: int) -> Column:
+    """The lengths of an array nested to this depth, from the outside, such as [2][3]."""
+    return F.concat(*(F.concat(F.lit("["), length(a, d + 1).cast("string"), F.lit("]")) for d in range(depth)))
+
+
 def replaced(a: str | Column, old: Any, new: Any) -> Column:
     return F.transform(col(a), lambda x: F.when(x.eqNullSafe(F.lit(old)), F.lit(new)).otherwise(x))
 
@@ -90,6 +106,11 @@ def matrix(m: str | Column) -> Column:
     return F.transform(F.map_entries(col(m)), lambda e: F.array(e.key, e.value))
 
 
+def record(m: str | Column, **types: str) -> Column:
+    """A struct of these members, cast to their types; null where the key is missing or does not fit."""
+    return F.struct(*(F.try_element_at(col(m), F.lit(k)).try_cast(kind).alias(k) for k, kind in types.items()))
+
+
 def pairs(keys: str | Column, values: str | Column) -> Column:
     """A map from an array of keys and one of values."""
     return F.map_from_arrays(col(keys), col(values))
@@ -194,6 +215,18 @@ def json_keys(j: str | Column) -> Column:
     return F.json_object_keys(col(j))
 
 
+def json_has_all(j: str | Column, *keys: str) -> Column:
+    return all_of(F.array_contains(json_keys(j), k) for k in keys)
+
+
+def json_has_any(j: str | Column, *keys: str) -> Column:
+    return any_of(F.array_contains(json_keys(j), k) for k in keys)
+
+
+def json_contained_by(a: str | Column, b: str | Column) -> Column:
+    return json_contains(b, a)
+
+
 def json_array_length(j: str | Column) -> Column:
     return F.json_array_length(col(j))
 

@@ -1,6 +1,6 @@
 """Addresses and networks as texts such as 10.1.2.3/24 or 2001:db8::/32; without a mask they are one address.
 
-IPv4 works on numbers, IPv6 on binary digits; IPv6 with an IPv4 tail is no address here.
+IPv4 works on numbers, IPv6 on binary digits.
 """
 
 from __future__ import annotations
@@ -34,9 +34,16 @@ def masklen(a: str | Column) -> Column:
     return F.when(F.contains(col(a), F.lit("/")), F.split_part(col(a), F.lit("/"), F.lit(2)).cast("int")).when(F.contains(col(a), F.lit(":")), 128).otherwise(32)
 
 
+def _without_tail(own: Column) -> Column:
+    """An IPv6 address with its IPv4 tail, if it has one, as two groups of hexadecimal digits."""
+    tail = number(F.regexp_extract(own, "([^:]*)$", 1))
+    groups = F.concat(F.regexp_extract(own, "^(.*:)[^:]*$", 1), F.hex(F.shiftright(tail, 16)), F.lit(":"), F.hex(tail.bitwiseAND(F.lit(65535))))
+    return F.when(own.rlike(r":.*\."), groups).otherwise(own)
+
+
 def bits(a: str | Column) -> Column:
     """The 32 or 128 binary digits of the address; null if it is none."""
-    own = host(a)
+    own = _without_tail(host(a))
     halves, short = F.split(own, "::"), F.contains(own, F.lit("::"))
     groups = lambda t: F.filter(F.split(t, ":"), lambda g: t != "")
     head, tail = groups(F.get(halves, F.lit(0))), groups(F.coalesce(F.get(halves, F.lit(1)), F.lit("")))

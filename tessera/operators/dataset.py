@@ -143,6 +143,10 @@ class Dataset:
     def select(self, *columns: Key) -> Dataset:
         return replace(self, projection=columns)
 
+    def select_all(self, *aliases: str) -> Dataset:
+        """All columns, or all of these sources."""
+        return replace(self, projection=tuple(f"{a}.*" for a in aliases))
+
     def select_append(self, *columns: Key) -> Dataset:
         return replace(self, projection=(*(self.projection or ("*",)), *columns))
 
@@ -229,6 +233,10 @@ class Dataset:
         df = self.df.toDF(*columns) if columns else self.df
         return self._rows(df.alias(alias) if alias else df)
 
+    def pipe(self, change: Callable[..., Dataset], *args: Any, **named: Any) -> Dataset:
+        """change(self, ...), so that subsets and other methods of one's own chain."""
+        return change(self, *args, **named)
+
     # the DataFrame
     @property
     def df(self) -> DataFrame:

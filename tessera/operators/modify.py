@@ -44,6 +44,11 @@ def delete(table: DataFrame, where: Any) -> DataFrame:
     return table.where(~F.coalesce(conditions(where), F.lit(False)))
 
 
+def deleted_rows(table: DataFrame, where: Any) -> DataFrame:
+    """DELETE ... RETURNING: the rows that go."""
+    return table.where(conditions(where))
+
+
 def delete_using(table: DataFrame, other: DataFrame, on: Column) -> DataFrame:
     """DELETE with a join: rows that have a partner go."""
     return table.join(other, on, "left_anti")

@@ -54,6 +54,11 @@ def after(order: Sequence[tuple[str, str, str | None]], last: Sequence[Any]) ->
     return any_of(steps)
 
 
+def with_found_rows(page: DataFrame, whole: DataFrame, name: str = "found_rows") -> DataFrame:
+    """A limited query with the number of rows that it has without the limit; one row is broadcast."""
+    return page.crossJoin(F.broadcast(whole.agg(F.count(F.lit(1)).alias(name))))
+
+
 @dataclass(frozen=True)
 class Page:
     df: DataFrame

@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import collections as c
+
 
 def _kept(df: DataFrame) -> DataFrame:
     """The rows written to the checkpoint folder, so that a step's plan does not hold all steps before."""
@@ -63,6 +65,30 @@ def ancestors(tree: DataFrame, chosen: Column, key: str = "id", parent: str = "p
     return recursive(base, step).where("level > 0")
 
 
+def with_descendants(tree: DataFrame, roots: Column, name: str, key: str = "id", parent: str = "parent_id", most_levels: int | None = None) -> DataFrame:
+    """Chosen rows, each with all rows below it as an array of level and row, level by level."""
+    rows = tree.select(F.col(key).alias("node"), F.struct(*tree.columns).alias("row"))
+    found = descendants(tree, roots, key, parent, most_levels).join(rows, "node")
+    gathered = F.sort_array(F.collect_list(F.struct("level", "node", "row")))
+    below = found.groupBy("root").agg(F.transform(gathered, lambda x: F.struct(x.level.alias("level"), x.row.alias("row"))).alias(name))
+    chosen = tree.where(roots)
+    return chosen.join(below, F.col(key) == F.col("root"), "left").select(*chosen.columns, F.coalesce(name, F.array().cast(below.schema[name].dataType)).alias(name))
+
+
+def json_tree(df: DataFrame, column: str, keep: list[str]) -> DataFrame:
+    """A row for each value in a JSON text, the nested ones included: the kept columns, path, type and value as JSON text."""
+    base = df.select(*keep, F.lit("$").alias("path"), F.col(column).alias("value")).where(c.is_json("value"))
+
+    def step(rows: DataFrame) -> DataFrame:
+        at = lambda tail, v: F.struct(F.concat(F.col("path"), *tail).alias("path"), F.to_json(v).alias("value"))
+        members = F.transform(F.map_entries(c.json_members("value")), lambda e: at((F.lit("."), e.key), e.value))
+        elements = F.transform(c.json_elements("value"), lambda v, i: at((F.lit("["), i.cast("string"), F.lit("]")), v))
+        kind = c.json_type("value")
+        return rows.select(*keep, F.explode(F.when(kind == "object", members).when(kind == "array", elements)).alias("_x")).select(*keep, "_x.*")
+
+    return recursive(base, step).select(*keep, "path", c.json_type("value").alias("type"), "value")
+
+
 def walk(edges: DataFrame, start: DataFrame, source: str, target: str, most_steps: int = 100) -> DataFrame:
     """Paths from start along edges: node, path, is_cycle; a path ends where it meets itself (CYCLE)."""
     hop = edges.select(F.col(source).alias("_from"), F.col(target).alias("_to"))
