@@ -205,6 +205,20 @@ def json_concat(a: str | Column, b: str | Column) -> Column:
     return F.to_json(merged(json_members(a), json_members(b)))
 
 
+def json_patch(j: str | Column, patch: dict) -> Column:
+    """Merge patch: nulls take members out, objects change members within, anything else replaces them."""
+
+    def patched(old: Column, new: Any) -> Column:
+        if not isinstance(new, dict):
+            return F.lit(json.dumps(new))
+        out = F.when(json_type(old) == "object", old).otherwise("{}")
+        for key, value in new.items():
+            out = _changed(out, (key,), lambda held, value=value: F.lit(None).cast("string") if value is None else patched(held, value))
+        return out
+
+    return F.when(is_json(j), patched(col(j), patch))
+
+
 def json_contains(a: str | Column, b: str | Column) -> Column:
     """Whether every member of b is a member of a with the same value (values are compared whole)."""
     texts = lambda m: F.transform(F.map_entries(m), lambda e: F.struct(e.key.alias("k"), F.to_json(e.value).alias("v")))

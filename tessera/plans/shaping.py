@@ -70,7 +70,7 @@ def array_compared(t):
 @query("SELECT p_partkey, '[' || len(string_split(p_name, ' ')) || '][2]' AS dims, 2 AS inner_length, len(string_split(p_name, ' ')) AS outer_length FROM part")
 def array_dimensions(t):
     words = F.transform(F.split("p_name", " "), lambda w: F.array(w, F.upper(w)))
-    return t.part.select("p_partkey", c.dimensions(words, 2).alias("dims"), c.length(words, 2).cast("long").alias("inner_length"), c.length(words).cast("long").alias("outer_length"))
+    return t.part.select("p_partkey", c.dimensions(words, 2).alias("dims"), c.length(words, 2).alias("inner_length"), c.length(words).cast("long").alias("outer_length"))
 
 
 @query("""SELECT p_partkey, p_size = 7 AS held, p_size % 2 = 0 AS known, p_brand || ',' || p_size AS vals, 'brand,size' AS keys, p_size AS size, NULL::INTEGER AS brand, NULL::DOUBLE AS weight FROM part""")
@@ -90,6 +90,14 @@ def json_has_keys(t):
         within.alias("within"), (~c.is_json("event_type")).alias("broken"))
 
 
+@query(f"""SELECT event_id, CAST(json_extract(k, '$.a.b') AS BIGINT) AS b, array_to_string(list_sort(json_keys(k, '$.a')), ',') AS of_a, array_to_string(list_sort(json_keys(k)), ',') AS keys,
+CAST(json_extract(k, '$.s.t') AS INTEGER) AS t FROM (SELECT event_id, json_merge_patch(j, '{{"a":{{"c":null,"d":[1]}},"n":null,"s":{{"t":1}},"q":2}}') AS k FROM ({NESTED}))""")
+def json_merge_patch(t):
+    out = nested(t).select("event_id", c.json_patch("j", {"a": {"c": None, "d": [1]}, "n": None, "s": {"t": 1}, "q": 2}).alias("k"))
+    keys = lambda j: F.array_join(F.sort_array(c.json_keys(j)), ",")
+    return out.select("event_id", c.json_text("k", "a", "b").cast("long").alias("b"), keys(c.json_text("k", "a")).alias("of_a"), keys("k").alias("keys"), c.json_text("k", "s", "t").cast("int").alias("t"))
+
+
 @query(f"""SELECT event_id, fullkey AS path, CASE type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'NULL' THEN 'null' ELSE 'number' END AS type
 FROM ({NESTED}) e, json_tree(e.j)""")
 def json_tree_of_values(t):
