@@ -364,6 +364,19 @@ class Dataset:
             page = paginate(self.df, page.next, size, page.record_count)
             yield page
 
+    def paged_datasets(self, rows: int = 1000) -> Iterator[Dataset]:
+        """A query for each page of an ordered one, cut at keys; the order must be unique."""
+        if not self.order_keys:
+            raise ValueError("paged_datasets needs an order")
+        from .paging import after
+
+        names, rest = [c for c, _, _ in self.order_keys], self
+        while (end := rest.select(*names).limit(1, rows - 1).df.first()) is not None:
+            yield rest.where(~after(self.order_keys, list(end)))
+            rest = self.where(after(self.order_keys, list(end)))
+        if not rest.empty():
+            yield rest
+
     def paged_each(self, rows: int = 1000) -> Iterator[Row]:
         """All rows in order, fetched in pages after the last key seen; the order must be unique."""
         if not self.order_keys:

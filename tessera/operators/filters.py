@@ -159,3 +159,9 @@ def words_search(column: str | Column, words: list[str], *, all_words: bool = Tr
     """Full-text search without an index: the words as whole words in any case."""
     found = [col(column).rlike(rf"(?i)(?U)\b{re.escape(w)}\b") for w in words]
     return all_of(found) if all_words else any_of(found)
+
+
+def words_rank(column: str | Column, words: list[str]) -> Column:
+    """How often the words occur as whole words in any case, for an order by relevance; 0 in a null text."""
+    pattern = rf"(?i)(?U)\b({'|'.join(map(re.escape, words))})\b"
+    return F.regexp_count(F.coalesce(col(column), F.lit("")), F.lit(pattern))

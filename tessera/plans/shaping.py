@@ -181,3 +181,14 @@ def tree_eager(t):
 def association_left_join(t):
     own = associations.Association("orders", t.orders.select("o_custkey", "o_orderkey"), {"c_custkey": "o_custkey"})
     return associations.association_join(t.customer, own, "left").select("c_custkey", F.col("orders.o_orderkey").alias("o_orderkey"))
+
+
+@query("""SELECT p_partkey, len(regexp_extract_all(p_name || ' Bolt bolts', '(?i)\\b(small|bolt)\\b')) AS rank FROM part""")
+def words_ranked(t):
+    return t.part.select("p_partkey", f.words_rank(F.concat("p_name", F.lit(" Bolt bolts")), ["small", "bolt"]).cast("long").alias("rank"))
+
+
+@query("SELECT o_orderstatus, true AS close FROM orders GROUP BY o_orderstatus")
+def approximate_distinct_count(t):
+    exact, rough = F.count_distinct("o_custkey"), F.approx_count_distinct("o_custkey", 0.02)
+    return t.orders.groupBy("o_orderstatus").agg((F.abs(rough - exact) <= exact * 0.1).alias("close"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,5 +52,12 @@ def describe(spark: SparkSession, name: str) -> list[tuple[str, str, bool]]:
     return [(c.name, c.dataType, c.nullable) for c in spark.catalog.listColumns(name)]
 
 
+def loose_count(spark: SparkSession, name: str) -> int | None:
+    """The number of rows that the catalog knows from the last ANALYZE TABLE, without a scan; None if it knows none."""
+    found = spark.sql(f"DESCRIBE EXTENDED {name}").where("col_name = 'Statistics'").first()
+    rows = None if found is None else re.search(r"(\d+) rows", found.data_type)
+    return None if rows is None else int(rows[1])
+
+
 def tables(spark: SparkSession) -> list[str]:
     return sorted(t.name for t in spark.catalog.listTables())

@@ -3,11 +3,15 @@
 import operator
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import collections as c
 from tessera.functions import custom, inet
 from tessera.operators import constraints, paging, recursion
+from tessera.operators import filters as f
+from tessera.operators.dataset import Dataset
+from tessera.sources import tables
 
 
 def of(spark, kind, *values):
@@ -82,3 +86,28 @@ def test_found_rows_of_an_empty_query(spark):
     rows = of(spark, "int", 1, 2, 3)
     assert [r.found_rows for r in paging.with_found_rows(rows.limit(2), rows).collect()] == [3, 3]
     assert paging.with_found_rows(rows.where("v > 5").limit(2), rows.where("v > 5")).count() == 0
+
+
+def test_ranks_of_words(spark):
+    out = of(spark, "string", "A bolt, a BOLT.", "bolts", None, "x.y xzy").select(f.words_rank("v", ["bolt", "x.y"]).alias("n"))
+    assert [r.n for r in out.collect()] == [2, 0, 0, 1]
+
+
+@pytest.mark.parametrize("order", [("v",), (("v", "desc"),), (("v", "asc", "last"),)])
+def test_paged_datasets(spark, order):
+    rows = Dataset(of(spark, "int", *range(10), None)).order(*order)
+    pages = [[r.v for r in p.all()] for p in rows.paged_datasets(4)]
+    assert [len(p) for p in pages] == [4, 4, 3]
+    assert [v for p in pages for v in p] == [r.v for r in rows.all()]
+    assert [len(p.all()) for p in rows.paged_datasets(11)] == [11]
+    assert list(rows.nullify().order("v").paged_datasets(4)) == []
+
+
+def test_loose_count(spark, tmp_path):
+    of(spark, "int", 1, 2, 3).write.option("path", str(tmp_path / "t")).mode("overwrite").saveAsTable("loosely_counted")
+    try:
+        assert tables.loose_count(spark, "loosely_counted") is None
+        spark.sql("ANALYZE TABLE loosely_counted COMPUTE STATISTICS")
+        assert tables.loose_count(spark, "loosely_counted") == 3
+    finally:
+        spark.sql("DROP TABLE loosely_counted")
