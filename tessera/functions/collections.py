@@ -211,7 +211,7 @@ def json_patch(j: str | Column, patch: dict) -> Column:
     def patched(old: Column, new: Any) -> Column:
         if not isinstance(new, dict):
             return F.lit(json.dumps(new))
-        out = F.when(json_type(old) == "object", old).otherwise("{}")
+        out = _let(old, lambda x: F.when(x.rlike(r"^\s*\{"), x).otherwise("{}"))
         for key, value in new.items():
             out = _changed(out, (key,), lambda held, value=value: F.lit(None).cast("string") if value is None else patched(held, value))
         return out
