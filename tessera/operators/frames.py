@@ -1,13 +1,17 @@
-"""Named windows, and frames that Spark's windows do not have: GROUPS offsets and EXCLUDE."""
+"""Named windows, frames that Spark's windows do not have (GROUPS offsets and EXCLUDE), and counts over wide range frames."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+#: Quantiles at which ``range_count`` cuts the values.
+PARTS = 1024
+
 
 @dataclass(frozen=True)
 class Named:
@@ -43,6 +47,38 @@ def groups_frame(df: DataFrame, partition: Sequence[str], order: str, start: int
     return peers.withColumns({name: f(c).over(frame) for name, (f, c) in outputs.items()}).drop("_peer")
 
 
+def range_count(df: DataFrame, partition: Sequence[str], order: str, start: float, end: float, name: str, parts: int = PARTS) -> DataFrame:
+    """count(*) OVER (PARTITION BY ... ORDER BY order RANGE start..end), for numbers and finite ends (negative: before).
+
+    Spark's own range frame adds up all rows of the frame for each row, a partition in a task.  Here the count is
+    the rows up to a frame's end less those before its start: each distinct value asks at both ends, and a running count
+    over values and questions answers.  It is taken in bins, after the sum of those before.  Bins are cut at quantiles of
+    the values and at these moved by both ends, so a bin holds few values and few questions, whatever gaps and
+    repeated values there are; where they are cut changes no result.  The frame of a null holds the nulls.
+    """
+    if start > end:
+        raise ValueError("a frame starts before its end")
+    quantiles = df.select(F.col(order).cast("double").alias("_v")).approxQuantile("_v", [i / parts for i in range(parts + 1)], 0.25 / parts)
+    cuts = {-float("inf"), 0.0, float("inf")} | {q + by for q in quantiles for by in (start, 0, end)}
+    bins = Bucketizer(splits=sorted(cuts), inputCol="_place", outputCol="_cell", handleInvalid="keep")
+    keys = [f"_k{i}" for i in range(len(partition))]
+    counted = df.groupBy(*(F.col(c).alias(k) for c, k in zip(partition, keys, strict=True)), F.col(order).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    asked = counted.select(*keys, "_v", F.posexplode(F.array(F.lit(0).cast("long"), F.col("_c"), F.lit(0).cast("long"))).alias("_kind", "_n"))  # start, the value, end
+    asked = asked.withColumn("_at", F.col("_v") + F.when(F.col("_kind") == 0, F.lit(start)).when(F.col("_kind") == 2, F.lit(end)).otherwise(F.lit(0)))
+    asked = bins.transform(asked.withColumn("_place", F.col("_at").cast("double")))
+    asked = asked.select(*keys, F.coalesce(F.col("_cell").cast("int"), F.lit(-1)).alias("_bin"), "_at", "_kind", "_n", "_v")
+    earlier = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    totals = asked.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_all"))
+    totals = totals.select(*(F.col(k).alias(f"{k}_") for k in keys), F.col("_bin").alias("_bin_"), F.coalesce(F.sum("_all").over(earlier), F.lit(0)).alias("_before"))
+    running = Window.partitionBy(*keys, "_bin").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    same = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys]
+    found = asked.withColumn("_upto", F.sum("_n").over(running)).where("_kind <> 1").join(totals, [F.col("_bin") == F.col("_bin_"), *same])
+    upto = F.col("_before") + F.col("_upto")
+    found = found.groupBy(*keys, "_v").agg(F.sum(F.when(F.col("_kind") == 2, upto).otherwise(-upto)).alias("_found"))
+    own = [F.col(c).eqNullSafe(F.col(k)) for c, k in zip([*partition, order], [*keys, "_v"], strict=True)]
+    return df.join(found, own).select(*df.columns, F.col("_found").alias(name))
+
+
 def sum_excluding(df: DataFrame, partition: Sequence[str], order: Sequence[str], value: str, exclude: str, name: str, start: int = Window.unboundedPreceding, end: int = Window.currentRow) -> DataFrame:
     """A running sum by rows that leaves out the current row, its peers (group) or its other peers (ties).
 

@@ -42,8 +42,8 @@ def row_frames(t):
 
 @query("SELECT o_orderkey, count(*) OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice RANGE BETWEEN 500 PRECEDING AND 500 FOLLOWING) AS n FROM orders")
 def range_frame(t):
-    w = Window.partitionBy("o_orderstatus").orderBy("o_totalprice").rangeBetween(-500, 500)
-    return t.orders.select("o_orderkey", F.count(F.lit(1)).over(w).alias("n"))
+    orders = t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice")
+    return frames.range_count(orders, ["o_orderstatus"], "o_totalprice", -500, 500, "n").select("o_orderkey", "n")
 
 
 @query("SELECT p_partkey, sum(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_size GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS s FROM part")

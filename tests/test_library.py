@@ -27,6 +27,26 @@ def test_groups_frame_golden(win):
     assert column(out, "s") == [111, 111, 111, 111111, 111111, 111111]
 
 
+@pytest.mark.parametrize(("start", "end", "kind"), [(-2, 2, "double"), (-1, 0, "double"), (1, 3, "bigint"), (-3, -1, "int"), (-100, 100, "double"), (-0.5, 0.25, "double")])
+def test_range_count_is_a_range_frame(spark, start, end, kind):
+    odd = ["NaN", "Infinity", "-Infinity", "-0.0", "0.1", "0.35", "0.6"] if kind == "double" else []
+    values = [None, None, *odd, *odd[:2], *(str(n * n % 17) for n in range(30)), *["40"] * 9]
+    rows = [(i, p, x) for i, (p, x) in enumerate((p, x) for p in ("a", "b", None) for x in values)]
+    df = spark.createDataFrame(rows, "id int, p string, x string").withColumn("x", F.col("x").cast(kind))
+    frame = " AND ".join(f"{abs(n)}{'D' if isinstance(n, float) else ''} {'PRECEDING' if n < 0 else 'FOLLOWING'}" for n in (start, end))
+    for partition, parts in ((["p"], 2), (["p"], 1024), ([], 1024)):
+        want = F.expr(f"count(*) OVER ({'PARTITION BY p' if partition else ''} ORDER BY x RANGE BETWEEN {frame})")
+        assert column(frames.range_count(df, partition, "x", start, end, "n", parts), "n") == column(df.withColumn("n", want), "n")
+    assert frames.range_count(df.limit(0), ["p"], "x", start, end, "n").collect() == []
+
+
+def test_range_frame_does_not_go_over_its_frame_for_each_row(spark):
+    from tessera.plans.catalog import QUERIES
+
+    plan = QUERIES["range_frame"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "rangeframe" not in plan.lower().replace(" ", "")
+
+
 @pytest.mark.parametrize(("exclude", "want"), [
     ("current", [None, 1, 11, 111, 1111, 11111]),
     ("group", [None, None, None, 111, 111, 111]),
