@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable
+from functools import partial
+from itertools import groupby
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -159,45 +161,78 @@ def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _changed(j: Column, path: tuple[str | int, ...], change) -> Column:
-    """j with the value at a path replaced by change(old value as text, or null if there is none) as text; null takes it out."""
-    key, rest = path[0], path[1:]
-    inner = (lambda old: _changed(old, rest, change)) if rest else change
+def _members(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "map<string,variant>")
+
+
+def _applied(held: Column, steps: list[tuple]) -> Column:
+    """A map or an array of variants after steps (path, change), one after another.
+
+    change(old variant, or null if there is none) gives the new one; null takes it out.  Steps into the same member are
+    made together, so that it is opened once; members don't meet, but indices move, so steps into an array are made alone.
+    """
+    last = {path[0]: i for i, (path, _) in enumerate(steps)}
+    if all(isinstance(key, str) for key in last):
+        steps = sorted(steps, key=lambda step: last[step[0][0]])
+        runs = [list(run) for _, run in groupby(steps, lambda step: step[0][0])]
+    else:
+        runs = [[step] for step in steps]
+    for run in runs:
+        held = _let(held, partial(_put, run[0][0][0], [(path[1:], change) for path, change in run]))
+    return held
+
+
+def _put(key: str | int, steps: list[tuple], held: Column) -> Column:
+    """A map or an array with steps made in the value at a key."""
+    new = F.get(held, F.lit(key)) if isinstance(key, int) else F.try_element_at(held, F.lit(key))
+    for kind, run in groupby(steps, lambda step: type(step[0][0]) if step[0] else None):
+        if kind is None:
+            for _, change in run:
+                new = change(new)
+        else:
+            inner = F.try_variant_get(new, "$", "array<variant>") if kind is int else _members(new)
+            new = F.to_variant_object(_applied(inner, list(run)))
     if isinstance(key, int):
+        head, tail = F.slice(held, F.lit(1), F.lit(key)), F.slice(held, F.lit(key + 2), F.greatest(F.size(held), F.lit(1)))
+        made = _let(new, lambda x: F.when(x.isNull(), F.concat(head, tail)).otherwise(F.concat(head, F.array(x), tail)))
+        return F.when(F.size(held) <= key, held).otherwise(made)
+    others = without_keys(held, key)
+    return _let(new, lambda x: F.when(x.isNull(), others).otherwise(F.map_concat(others, F.create_map(F.lit(key), x))))
 
-        def element(items: Column) -> Column:
-            head, tail = F.slice(items, F.lit(1), F.lit(key)), F.slice(items, F.lit(key + 2), F.greatest(F.size(items), F.lit(1)))
-            new = inner(F.to_json(F.get(items, F.lit(key))))
-            made = _let(new, lambda x: F.when(x.isNull(), F.to_json(F.concat(head, tail))).otherwise(F.to_json(F.concat(head, F.array(F.parse_json(x)), tail))))
-            return F.when(F.size(items) <= key, F.to_json(items)).otherwise(made)
 
-        return _let(json_elements(j), element)
+def json_changes(j: str | Column, *steps: tuple) -> Column:
+    """Steps one after another: ("set" | "insert" | "replace", path, value) or ("delete", path); the text is read and written once."""
 
-    def member(members: Column) -> Column:
-        others = without_keys(members, key)
-        new = inner(F.to_json(F.try_element_at(members, F.lit(key))))
-        return _let(new, lambda x: F.when(x.isNull(), F.to_json(others)).otherwise(F.to_json(F.map_concat(others, F.create_map(F.lit(key), F.parse_json(x))))))
+    def change(how: str, value: Any = None) -> Callable[[Column], Column]:
+        new = None if how == "delete" else json_value(value)
+        return {
+            "set": lambda old: new,
+            "insert": lambda old: F.coalesce(old, new),
+            "replace": lambda old: F.when(old.isNotNull(), new),
+            "delete": lambda old: F.lit(None).cast("variant"),
+        }[how]
 
-    return _let(json_members(j), member)
+    opened = json_elements(j) if isinstance(steps[0][1][0], int) else json_members(j)
+    return F.to_json(_applied(opened, [(tuple(path), change(how, *value)) for how, path, *value in steps]))
 
 
 def json_set_path(j: str | Column, path: list[str | int], value: Any) -> Column:
     """The value at a path put in or replaced; what leads there must exist."""
-    return _changed(col(j), tuple(path), lambda old: F.to_json(json_value(value)))
+    return json_changes(j, ("set", path, value))
 
 
 def json_insert(j: str | Column, path: list[str | int], value: Any) -> Column:
     """A value put in where there is none."""
-    return _changed(col(j), tuple(path), lambda old: F.coalesce(old, F.to_json(json_value(value))))
+    return json_changes(j, ("insert", path, value))
 
 
 def json_replace(j: str | Column, path: list[str | int], value: Any) -> Column:
     """A value replaced where there is one."""
-    return _changed(col(j), tuple(path), lambda old: F.when(old.isNotNull(), F.to_json(json_value(value))))
+    return json_changes(j, ("replace", path, value))
 
 
 def json_delete_path(j: str | Column, path: list[str | int]) -> Column:
-    return _changed(col(j), tuple(path), lambda old: F.lit(None).cast("string"))
+    return json_changes(j, ("delete", path))
 
 
 def json_concat(a: str | Column, b: str | Column) -> Column:
@@ -208,15 +243,21 @@ def json_concat(a: str | Column, b: str | Column) -> Column:
 def json_patch(j: str | Column, patch: dict) -> Column:
     """Merge patch: nulls take members out, objects change members within, anything else replaces them."""
 
-    def patched(old: Column, new: Any) -> Column:
-        if not isinstance(new, dict):
-            return F.lit(json.dumps(new))
-        out = _let(old, lambda x: F.when(x.rlike(r"^\s*\{"), x).otherwise("{}"))
-        for key, value in new.items():
-            out = _changed(out, (key,), lambda held, value=value: F.lit(None).cast("string") if value is None else patched(held, value))
-        return out
-
-    return F.when(is_json(j), patched(col(j), patch))
+    def merged_into(members: Column, new: dict) -> Column:
+        return _applied(F.coalesce(members, F.create_map().cast("map<string,variant>")), [((key,), partial(patched, value)) for key, value in new.items()])
+
+    def patched(new: Any, old: Column) -> Column:
+        if new is None:
+            return F.lit(None).cast("variant")
+        return F.to_variant_object(merged_into(_members(old), new)) if isinstance(new, dict) else json_value(new)
+
+    if not isinstance(patch, dict):
+        out = F.lit(json.dumps(patch))
+    elif patch:
+        out = F.to_json(merged_into(json_members(j), patch))
+    else:
+        out = F.when(col(j).rlike(r"^\s*\{"), col(j)).otherwise("{}")
+    return F.when(is_json(j), out)
 
 
 def json_contains(a: str | Column, b: str | Column) -> Column:

@@ -180,15 +180,14 @@ def json_set_keeps_types(t):
 
 @query("SELECT event_id, user_id + 1 AS b, event_type AS kind, event_id AS first FROM events")
 def json_set_path(t):
-    out = c.json_set_path(c.json_set_path("j", ["a", "b"], F.col("user_id") + 1), ["a", "c", 1], F.col("event_type"))
+    out = c.json_changes("j", ("set", ["a", "b"], F.col("user_id") + 1), ("set", ["a", "c", 1], F.col("event_type")))
     return nested(t).select("event_id", out.alias("j")).select(
         "event_id", c.json_text("j", "a", "b").cast("long").alias("b"), c.json_text("j", "a", "c", 1).alias("kind"), c.json_text("j", "a", "c", 0).cast("long").alias("first"))
 
 
 @query("SELECT event_id, user_id AS kept, 7 AS made, 9 AS changed, true AS none FROM events")
 def json_insert_and_replace(t):
-    out = c.json_insert(c.json_insert("j", ["a", "b"], 5), ["a", "d"], 7)
-    out = c.json_replace(c.json_replace(out, ["n"], 9), ["a", "none"], 1)
+    out = c.json_changes("j", ("insert", ["a", "b"], 5), ("insert", ["a", "d"], 7), ("replace", ["n"], 9), ("replace", ["a", "none"], 1))
     number = lambda *path: c.json_text("k", *path)
     return nested(t).select("event_id", out.alias("k")).select(
         "event_id", number("a", "b").cast("long").alias("kept"), number("a", "d").cast("int").alias("made"), number("n").cast("int").alias("changed"), number("a", "none").isNull().alias("none"))
@@ -196,7 +195,7 @@ def json_insert_and_replace(t):
 
 @query("""SELECT event_id, '{"c":[' || event_id || ',null]}' AS a FROM events""")
 def json_delete_path(t):
-    out = c.json_delete_path(c.json_delete_path("j", ["a", "b"]), ["a", "c", 1])
+    out = c.json_changes("j", ("delete", ["a", "b"]), ("delete", ["a", "c", 1]))
     return nested(t).select("event_id", c.json_text(out, "a").alias("a"))
 
 

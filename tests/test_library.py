@@ -250,3 +250,21 @@ def test_addresses_that_are_none(spark):
     texts_ = ["::", "1::", "::1", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::8", "1::2::3", ":::", "1:2", "g::", "1.2.3.4", "1.2.3.400", "12345::"]
     df = spark.createDataFrame([(x,) for x in texts_], "x string")
     assert [r[0] for r in df.select(inet.family("x")).collect()] == [6, 6, 6, 6, None, None, None, None, None, 4, None, None]
+
+
+def test_json_changes_made_together(spark):
+    from tessera.plans.catalog import QUERIES
+
+    texts = ['{"a":{"b":1,"c":[1,null,3]},"n":2,"s":"x"}', '{"n":null,"a":{"b":null,"c":[]}}', '{"a":{"d":{"e":0.50}},"z":[1]}', '{"a":[1]}', "{}", "[1]", "{bad", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, j string")
+    steps = [("insert", ["a", "b"], 5), ("set", ["n"], F.col("id")), ("delete", ["a", "c", 0]), ("replace", ["a", "c", 0], "y"), ("delete", ["a", "d", "e"]), ("insert", ["a", "q"], {"k": None}), ("replace", ["z"], 1)]
+    alone = {"set": c.json_set_path, "insert": c.json_insert, "replace": c.json_replace, "delete": c.json_delete_path}
+    one_by_one = F.col("j")
+    for how, *rest in steps:
+        one_by_one = alone[how](one_by_one, *rest)
+    together = column(df.select("id", c.json_changes("j", *steps).alias("k")), "k")
+    assert together == column(df.select("id", one_by_one.alias("k")), "k")
+    assert together[:3] == ['{"s":"x","n":0,"a":{"b":1,"c":["y",3],"q":{"k":null}}}', '{"n":1,"a":{"b":null,"c":[],"q":{"k":null}}}', '{"n":2,"a":{"b":5,"d":{},"q":{"k":null}},"z":1}']
+    for name in ("json_insert_and_replace", "json_set_path", "json_delete_path"):  # each text is read and written once
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+        assert plan.count("from_json(") == plan.count("to_json(") == 1
